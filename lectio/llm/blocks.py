@@ -101,3 +101,44 @@ def words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     data, at = view(pc.utf8_lower(flat(column)))
     start, end, first = spans(data, at, WORD)
     return hashes(data, start, end), first
+
+
+def joined(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return parts[0] if len(parts) == 1 else pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+
+
+def runs(batches: Iterator[pa.RecordBatch], key: str, most: int = 1 << 16) -> Iterator[pa.RecordBatch]:
+    """Batches of sorted rows cut anew, so that the rows of a key (a null is one) come in one batch; of several keys in a batch, up to most rows at first."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        for at in range(0, batch.num_rows, most):
+            part = batch.slice(at, most)
+            ids = part.column(key)
+            if held and ids[0].as_py() != last:
+                yield joined(held)
+                held = []
+            last = ids[part.num_rows - 1].as_py()
+            same = pc.is_null(ids) if last is None else pc.fill_null(pc.equal(ids, last), False)
+            begin = int(np.flatnonzero(same.to_numpy(zero_copy_only=False))[0])
+            if begin:
+                yield joined([*held, part.slice(0, begin)])
+                held = []
+            held.append(part.slice(begin))
+    if held:
+        yield joined(held)
+
+
+def edges(ids: pa.Array) -> np.ndarray:
+    """Where each run of equal ids begins, and the number of ids last."""
+    n = len(ids)
+    if not n:
+        return np.zeros(1, np.int64)
+    void = pc.is_null(ids).to_numpy(zero_copy_only=False)
+    value = pc.fill_null(ids, 0).to_numpy(zero_copy_only=False)
+    return np.r_[0, np.flatnonzero((value[1:] != value[:-1]) | (void[1:] != void[:-1])) + 1, n]
+
+
+def ragged(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The indices begin, begin + 1, ... of each run, one run after another."""
+    return np.arange(int(size.sum())) + np.repeat(begin - (np.cumsum(size) - size), size)

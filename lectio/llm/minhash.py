@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from lectio.llm.blocks import mix, slices, words
 from lectio.session import importable, materialise
 
-K, M, SHINGLE = 64, 32, 3
+K, M, SHINGLE = 64, 28, 3
 #: Removed ids are broadcast up to this many bytes and joined by shuffle beyond.
 BROADCAST_BYTES = 16 << 20
 #: Cells of the comparison of signatures that are held at once.
