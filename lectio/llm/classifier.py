@@ -24,8 +24,8 @@ SAMPLE, SAMPLE_BYTES = 1500, 12 << 20
 DICTIONARY_BYTES, LEVEL = 112_640, 3
 #: Texts are compressed in chunks, so that long ones are measured by the dictionary all along and not by their own beginning.
 CHUNK = 4096
-#: A document under this score isn't kept.
-THRESHOLD = 0.5
+#: The part of good texts that the decision to keep is set to leave alone, by held-out labelled texts.
+KEEP_GOOD = 0.998
 
 
 @dataclass(frozen=True)
@@ -34,6 +34,7 @@ class Model:
     bad: bytes
     slope: float
     offset: float
+    threshold: float
 
     def compressors(self) -> tuple[zstandard.ZstdCompressor, zstandard.ZstdCompressor]:
         return tuple(_compressor(d) for d in (self.good, self.bad))
@@ -82,7 +83,7 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> tuple[float,
     return float(beta[0] / scale), float(beta[1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Model | None:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES, keep_good: float = KEEP_GOOD) -> Model | None:
     """A model of the labelled documents; None where a class has fewer than two texts.
 
     Good is quality 1 and not toxic, bad is quality 0. Of each class the `sample` documents whose ids hash lowest are used,
@@ -105,15 +106,19 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_bytes:
     if min(map(len, [*train.values(), *held.values()])) < 1:
         return None
     good, bad = dictionary(train[1]), dictionary(train[0])
-    model = Model(good, bad, 0.0, 0.0)
-    pair = model.compressors()
+    pair = _compressor(good), _compressor(bad)
     x = np.array([margin(t, *pair) for g in (0, 1) for t in held[g]])
     y = np.array([g for g in (0, 1) for _ in held[g]], float)
-    return Model(good, bad, *logistic(x, y))
+    slope, offset = logistic(x, y)
+    return Model(good, bad, slope, offset, float(np.quantile(probability(x[y == 1], slope, offset), 1 - keep_good, method="lower")))
 
 
-def score(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, margin, score, keep) of each row: the margin, the probability that the text is good, and whether it reaches the threshold.
+def probability(x: np.ndarray, slope: float, offset: float) -> np.ndarray:
+    return np.round(1 / (1 + np.exp(-np.clip(slope * x + offset, -30, 30))), 6)
+
+
+def score(docs: DataFrame, model: Model | None) -> DataFrame:
+    """(doc_id, margin, score, keep) of each row: the margin, the probability that the text is good, and whether it reaches the model's threshold.
 
     The whole text counts. Null and empty texts, and all texts where there is no model, have a null margin and score, and
     keep is null. Null ids and rows that repeat are scored like others; further columns are ignored.
@@ -129,9 +134,8 @@ def score(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD) ->
                 data, at = view(part.column("text"))
                 raw, at = data.tobytes(), at.tolist()
                 x = np.array([margin(raw[s:e], *pair) if pair and s < e else np.nan for s, e in zip(at, at[1:])])
-                with np.errstate(invalid="ignore"):
-                    p = 1 / (1 + np.exp(-np.clip(model.slope * x + model.offset, -30, 30))) if model else x
+                p = probability(x, model.slope, model.offset) if model else x
                 none = np.isnan(x)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.round(x, 6), mask=none), pa.array(np.round(p, 6), mask=none), pa.array(np.where(none, False, np.round(p, 6) >= threshold), mask=none)], ["doc_id", "margin", "score", "keep"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.round(x, 6), mask=none), pa.array(p, mask=none), pa.array(p >= (model.threshold if model else 0), mask=none)], ["doc_id", "margin", "score", "keep"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(judge, "doc_id long, margin double, score double, keep boolean")
