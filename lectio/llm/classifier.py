@@ -25,7 +25,7 @@ DICTIONARY_BYTES, LEVEL = 112_640, 3
 #: Texts are compressed in chunks, so that long ones are measured by the dictionary all along and not by their own beginning.
 CHUNK = 4096
 #: The part of good texts that the decision to keep is set to leave alone, by held-out labelled texts.
-KEEP_GOOD = 0.998
+KEEP_GOOD = 0.995
 
 
 @dataclass(frozen=True)

@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectio.llm.blocks import slices
+from lectio.llm.blocks import SLICE_BYTES, slices
 from lectio.llm.tokens import encoder, vocabulary
 from lectio.session import importable
 
@@ -187,7 +187,7 @@ def shard_files(docs: DataFrame, vocab: str | None = None, shard_tokens: int = S
             return row
 
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, most=min(SLICE_BYTES, 4 * shard_tokens)):
                 ids, first = coder.encode(part.column("text"))
                 count = np.diff(first)
                 out = np.full(len(ids) + len(count), coder.vocabulary, np.uint16)
