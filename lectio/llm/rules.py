@@ -13,6 +13,8 @@ LEAST_KEPT = 0.5
 #: Separators that make a line one of navigation, and words that a shorter line of nothing else is made of.
 SEPARATORS = 3
 NAVIGATION = "home|next|previous|prev|back|menu|login|log in|logout|sign in|sign up|register|search|contact|contact us|about|about us|sitemap|faq|help|top|share|print|rss"
+#: Phrases of boilerplate, which fail a line of so many characters at most: a longer one that has them is prose.
+BOILERPLATE_CHARS = 200
 BOILERPLATE = "all rights reserved|cookie policy|privacy policy|terms of (use|service)|this (work|file|software) is licensed|^licensed under|^released under|^copyright|click here|read more|subscribe to our|enable javascript|powered by"
 #: Runs of signs such as "%%%" or "!!", which running text hasn't; a line with so many for each of its words fails.
 NOISE, NOISE_SHARE = "[!?#$%&*^~=+_<>@]{2,}", 0.25
@@ -27,7 +29,7 @@ def _line(duck: bool) -> str:
     words = "(length(l) - length(replace(l, ' ', '')) + 1)"
     navigation = f"length(l) - length(replace(l, '|', '')) >= {SEPARATORS} OR (length(l) <= 80 AND {hit(f'(?i)^(({NAVIGATION})[ >|/]*)+$')})"
     punctuation = f"{count(NOISE)} >= {NOISE_SHARE}e0 * {words} OR ({words} >= {LONG_LINE} AND NOT {hit('[.!?:;,。！？]')})"
-    return f"NOT ({navigation} OR {hit(f'(?i)({BOILERPLATE})')} OR {punctuation})"
+    return f"NOT ({navigation} OR (length(l) <= {BOILERPLATE_CHARS} AND {hit(f'(?i)({BOILERPLATE})')}) OR {punctuation})"
 
 
 def _trimmed(duck: bool) -> str:
@@ -44,14 +46,13 @@ def clean(docs: DataFrame, least_kept: float = LEAST_KEPT) -> DataFrame:
     which have nothing to keep. All other columns, also null ids and repeated rows, stay as they are.
     """
     trimmed = _trimmed(False)
-    lines = "split(text, '\\n', -1)"
-    kept = f"filter({lines}, x -> exists(array({trimmed.replace('(l,', '(x,')}), l -> l = '' OR ({_line(False)})))"
+    stays = f"exists(array({trimmed.replace('(l,', '(x,')}), l -> l = '' OR ({_line(False)}))"
     size = lambda a: f"aggregate({a}, 0L, (n, l) -> n + length({trimmed}))"
+    # One generator holds the whole of it: as a projection and a filter, the optimizer would judge every line in both.
+    judged = f"transform(transform(array(split(string(text), '\n', -1)), a -> named_struct('a', a, 'kept', filter(a, x -> {stays}))), s -> named_struct('new', array_join(s.kept, '\n'), 'size', {size('s.kept')}, 'whole', {size('s.a')}))"
     names = docs.columns
-    work = docs.select(F.struct(*names).alias("row"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL").withColumn("kept", F.expr(kept))
-    work = work.withColumn("size", F.expr(size("kept"))).where(f"size > 0 AND size >= {least_kept}e0 * {size(lines)}")
-    text = F.array_join("kept", "\n")
-    new = {"text": text, "n_chars": F.length(text).cast("long")}
+    work = docs.where("text IS NOT NULL").select(F.struct(*names).alias("row"), F.expr(f"inline(filter({judged}, s -> s.size > 0 AND s.size >= {least_kept}e0 * s.whole))"))
+    new = {"text": F.col("new"), "n_chars": F.length("new").cast("long")}
     return work.select(*(new[c.lower()].alias(c) if c.lower() in new else F.col("row")[c].alias(c) for c in names))
 
 
