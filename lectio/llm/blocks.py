@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
+from pyspark.sql.types import StructType
+
+from lectio.session import importable
 
 #: Bytes of text that are taken up by numpy at once.
 SLICE_BYTES = 2 << 20
@@ -98,9 +103,36 @@ def hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
 
 def words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of each text, lower-cased and without punctuation, and where each text's words begin."""
-    data, at = view(pc.utf8_lower(flat(column)))
-    start, end, first = spans(data, at, WORD)
-    return hashes(data, start, end), first
+    hashed, counts = [np.zeros(0, np.uint64)], [np.zeros(1, np.int64)]
+    for part in slices(pa.RecordBatch.from_arrays([flat(column)], ["text"])):
+        data, at = view(pc.utf8_lower(part.column("text")))
+        start, end, first = spans(data, at, WORD)
+        hashed.append(hashes(data, start, end))
+        counts.append(np.diff(first))
+    return np.concatenate(hashed), np.cumsum(np.concatenate(counts))
+
+
+def release() -> None:
+    """Give memory that is no longer used back to the system: Python workers outlive their tasks."""
+    _POWERS.clear()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
+
+
+def arrow_map(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
+    """df.mapInArrow, with this package importable on the workers, and their memory released after each task."""
+    importable(df.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from function(batches)
+        finally:
+            release()
+
+    return df.mapInArrow(run, schema)
 
 
 def joined(parts: list[pa.RecordBatch]) -> pa.RecordBatch:

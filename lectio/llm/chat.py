@@ -14,8 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectio.llm.blocks import edges, ragged, runs, view
-from lectio.session import importable
+from lectio.llm.blocks import arrow_map, edges, ragged, runs, view
 
 OPEN, BREAK, CLOSE = b"<|im_start|>", b"\n", b"<|im_end|>\n"
 TRAINED = "assistant"
@@ -50,7 +49,6 @@ def format_chats(conversations: DataFrame) -> DataFrame:
     a turn. Rows with a null conv_id are one conversation, whose id is null. Further columns are ignored. An empty table
     gives no rows.
     """
-    importable(conversations.sparkSession)
     clean = lambda c: F.replace(F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit("<|"), F.lit("< |")).alias(c)
     turns = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), clean("role"), clean("text"))
 
@@ -69,7 +67,7 @@ def format_chats(conversations: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column("conv_id").take(pa.array(begin[:-1])), pa.array(np.diff(begin)), pa.array(np.diff(np.frombuffer(text.buffers()[1], np.int32)).astype(np.int64)), pa.array(trained), text], ["conv_id", "n_turns", "n_bytes", "trained_bytes", "text"])
                 at = to
 
-    return turns.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").mapInArrow(build, "conv_id long, n_turns long, n_bytes long, trained_bytes long, text string")
+    return arrow_map(turns.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text"), build, "conv_id long, n_turns long, n_bytes long, trained_bytes long, text string")
 
 
 ORACLE = """

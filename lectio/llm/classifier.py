@@ -16,8 +16,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectio.llm.blocks import slices, view
-from lectio.session import importable
+from lectio.llm.blocks import arrow_map, slices, view
 
 #: Labelled documents of each class that the model is fitted on, at most, and bytes of their texts that are used.
 SAMPLE, SAMPLE_BYTES = 1500, 12 << 20
@@ -123,7 +122,6 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
     The whole text counts. Null and empty texts, and all texts where there is no model, have a null margin and score, and
     keep is null. Null ids and rows that repeat are scored like others; further columns are ignored.
     """
-    importable(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,4 +136,4 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
                 none = np.isnan(x)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.round(x, 6), mask=none), pa.array(p, mask=none), pa.array(p >= (model.threshold if model else 0), mask=none)], ["doc_id", "margin", "score", "keep"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(judge, "doc_id long, margin double, score double, keep boolean")
+    return arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), judge, "doc_id long, margin double, score double, keep boolean")

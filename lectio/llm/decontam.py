@@ -19,8 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectio.llm.blocks import flat, words
-from lectio.session import importable
+from lectio.llm.blocks import arrow_map, flat, words
 
 #: Words of a run that make a leak; a test text that is shorter leaks as a whole, if it has at least SHORTEST words.
 MIN_WORDS, SHORTEST = 13, 5
@@ -195,7 +194,6 @@ def leaks(docs: DataFrame, benchmark: DataFrame, min_words: int = MIN_WORDS, sha
     repeat a doc_id are each searched, and the longest run of each (doc_id, item_id) is reported once. An empty benchmark has
     no leaks. Further columns are ignored.
     """
-    importable(docs.sparkSession)
     schema = "doc_id long, item_id long, n_words long, doc_word long, item_word long"
     names = ["doc_id", "item_id", "n_words", "doc_word", "item_word"]
     data = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text IS NOT NULL")
@@ -208,7 +206,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, min_words: int = MIN_WORDS, sha
                 if len(got["text"]):
                     yield pa.RecordBatch.from_arrays([shard.column("doc_id").take(pa.array(got["text"])), pa.array(tests.value.ids[got["item"]]), *(pa.array(got[k]) for k in names[2:])], names)
 
-        part = data.mapInArrow(scan, schema)
+        part = arrow_map(data, scan, schema)
         out = part if out is None else out.union(part)
     best = F.max(F.struct("n_words", (-F.col("doc_word")).alias("d"), (-F.col("item_word")).alias("i"))).alias("best")
     return out.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.n_words", (-F.col("best.d")).alias("doc_word"), (-F.col("best.i")).alias("item_word"))
@@ -216,7 +214,6 @@ def leaks(docs: DataFrame, benchmark: DataFrame, min_words: int = MIN_WORDS, sha
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, min_words: int = MIN_WORDS, shard_bytes: int = SHARD_BYTES, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """docs without the rows that leaks() would report, all columns as they are. Null and empty texts stay."""
-    importable(docs.sparkSession)
     out = docs
     for tests in _chunks(benchmark, min_words, chunk_bytes):
 
@@ -227,5 +224,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, min_words: int = MIN_WO
                 yield shard.filter(pa.array(clean))
 
         step: Callable = keep
-        out = out.mapInArrow(step, docs.schema)
+        out = arrow_map(out, step, docs.schema)
     return out

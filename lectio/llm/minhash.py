@@ -21,8 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectio.llm.blocks import mix, slices, words
-from lectio.session import importable, materialise
+from lectio.llm.blocks import arrow_map, mix, slices, words
+from lectio.session import materialise
 
 K, M, SHINGLE = 64, 28, 3
 #: Removed ids are broadcast up to this many bytes and joined by shuffle beyond.
@@ -63,7 +63,6 @@ def _sign(hashed: np.ndarray, first: np.ndarray, k: int, n: int) -> tuple[np.nda
 
 def signatures(docs: DataFrame, k: int = K, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, sig): K unsigned 32-bit minima of each text that has a word and a doc_id."""
-    importable(docs.sparkSession)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -72,7 +71,7 @@ def signatures(docs: DataFrame, k: int = K, shingle: int = SHINGLE) -> DataFrame
                 if len(some):
                     yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(some)), pa.Array.from_buffers(pa.binary(4 * k), len(some), [None, pa.py_buffer(sig.tobytes())]).cast(pa.binary())], ["doc_id", "sig"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL AND text IS NOT NULL").mapInArrow(sign, "doc_id long, sig binary")
+    return arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL AND text IS NOT NULL"), sign, "doc_id long, sig binary")
 
 
 def _tokens(reps: DataFrame, k: int) -> DataFrame:
@@ -82,7 +81,7 @@ def _tokens(reps: DataFrame, k: int) -> DataFrame:
             token = sig + (np.arange(k, dtype=np.int64) << 32)
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column("rep").to_numpy(zero_copy_only=False), k)), pa.array(token.ravel())], ["rep", "token"])
 
-    return reps.mapInArrow(tokens, "rep long, token long")
+    return arrow_map(reps, tokens, "rep long, token long")
 
 
 def _order(q: np.ndarray, token: np.ndarray) -> np.ndarray:
@@ -110,7 +109,7 @@ def _postings(candidates: DataFrame, k: int, m: int) -> DataFrame:
                 part = pa.array(row[at : at + 4096])
                 yield pa.RecordBatch.from_arrays([pa.array(token[at : at + 4096]), batch.column("rep").take(part), packed.take(part)], ["token", "rep", "packed"])
 
-    return candidates.mapInArrow(post, "token long, rep long, packed binary")
+    return arrow_map(candidates, post, "token long, rep long, packed binary")
 
 
 def _collide(token: int, rep: np.ndarray, packed: list[bytes], k: int, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -138,7 +137,37 @@ def _collide(token: int, rep: np.ndarray, packed: list[bytes], k: int, m: int) -
     return tuple(map(np.concatenate, (left, right, hits)))
 
 
-def _merge(postings: DataFrame, k: int, m: int) -> DataFrame:
+def _connect(token: int, rep: np.ndarray, packed: list[bytes], k: int, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Edges from one member to the others of each group of a posting list that M collisions connect. Texts that are connected already aren't compared, so a list of copies takes one pass."""
+    raw = np.frombuffer(b"".join(packed), np.uint8).reshape(-1, 5 * k)
+    values, posted = raw[:, : 4 * k].copy().view(np.uint32), raw[:, 4 * k :] > 0
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    rest = np.arange(len(rep))
+    while len(rest) > 1:
+        first, rest = rest[0], rest[1:]
+        front = np.array([first])
+        while len(front) and len(rest):
+            step = max(1, CELLS // (k * len(front)))
+            near = []
+            for at in range(0, len(rest), step):
+                some = rest[at : at + step]
+                hit = np.zeros(len(some), bool)
+                for i in range(0, len(front), max(1, CELLS // (k * len(some)))):
+                    f = front[i : i + max(1, CELLS // (k * len(some)))]
+                    same = (values[f][:, None] == values[some][None]) & posted[f][:, None] & posted[some][None]
+                    hit |= (same.sum(-1, dtype=np.int16) >= m).any(0)
+                near.append(hit)
+            near = np.concatenate(near)
+            front, rest = rest[near], rest[~near]
+            left.append(np.full(len(front), rep[first]))
+            right.append(rep[front])
+    left, right = np.concatenate(left), np.concatenate(right)
+    return left, right, np.full(len(left), m, np.int16)
+
+
+def _merge(postings: DataFrame, k: int, m: int, forest: bool = False) -> DataFrame:
+    visit = _connect if forest else _collide
+
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
         held = 0
@@ -157,7 +186,7 @@ def _merge(postings: DataFrame, k: int, m: int) -> DataFrame:
             for s, e in zip(edge, np.r_[edge[1:], len(token)]):
                 if token[s] != now:
                     if len(reps) and sum(map(len, reps)) > 1:
-                        out.append(_collide(now, np.concatenate(reps), packs, k, m))
+                        out.append(visit(now, np.concatenate(reps), packs, k, m))
                         held += len(out[-1][0])
                         if held > 100_000:
                             yield flush()
@@ -165,22 +194,23 @@ def _merge(postings: DataFrame, k: int, m: int) -> DataFrame:
                 reps.append(rep[s:e])
                 packs += packed.slice(s, e - s).to_pylist()
         if len(reps) and sum(map(len, reps)) > 1:
-            out.append(_collide(now, np.concatenate(reps), packs, k, m))
+            out.append(visit(now, np.concatenate(reps), packs, k, m))
         if out:
             yield flush()
 
-    return postings.repartition("token").sortWithinPartitions("token").mapInArrow(merge, "doc_a long, doc_b long, matches int")
+    return arrow_map(postings.repartition("token").sortWithinPartitions("token"), merge, "doc_a long, doc_b long, matches int")
 
 
-def near_pairs(docs: DataFrame, k: int = K, m: int = M, shingle: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
+def near_pairs(docs: DataFrame, k: int = K, m: int = M, shingle: int = SHINGLE, forest: bool = False) -> tuple[DataFrame, DataFrame]:
     """Two tables (doc_a, doc_b, matches), doc_a < doc_b: the pairs of classes that collide in m to k coordinates, by their
-    smallest doc_id; and each further doc_id of a class of equal signatures with the smallest, matches = k."""
+    smallest doc_id; and each further doc_id of a class of equal signatures with the smallest, matches = k. With forest, the
+    first table has only as many pairs as connect what the others do, and these need not collide themselves."""
     sigs = materialise(signatures(docs, k, shingle), "signatures")
     reps = sigs.groupBy("sig").agg(F.min("doc_id").alias("rep"))
     tokens = _tokens(reps, k).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("token"))).where("n > 1")
     tokens = tokens.select("rep", "token", F.least(F.lit(255), F.floor(F.log2("n") * 8)).cast("int").alias("q"))
     candidates = tokens.groupBy("rep").agg(F.collect_list(F.struct("token", "q")).alias("tokens")).where(F.size("tokens") >= m)
-    pairs = _merge(_postings(candidates, k, m), k, m).where("doc_a < doc_b")
+    pairs = _merge(_postings(candidates, k, m), k, m, forest).where("doc_a < doc_b")
     copies = sigs.join(reps, "sig").where("doc_id > rep").select(F.col("rep").alias("doc_a"), F.col("doc_id").alias("doc_b"), F.lit(k).alias("matches")).distinct()
     return pairs, copies
 
@@ -227,7 +257,7 @@ def deduplicate(docs: DataFrame, k: int = K, m: int = M, shingle: int = SHINGLE)
     All columns stay as they are. Rows without a doc_id or a word stay. Of rows that repeat a doc_id, the one with the
     smallest text stays (null texts first).
     """
-    pairs, copies = near_pairs(docs, k, m, shingle)
+    pairs, copies = near_pairs(docs, k, m, shingle, forest=True)
     pairs = materialise(pairs, "pairs")
     copies = materialise(copies, "copies")
     gone = materialise(components(pairs).select(F.col("node").alias("gone")).union(copies.select(F.col("doc_b").alias("gone"))).distinct(), "gone")

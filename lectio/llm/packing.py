@@ -18,9 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectio.llm.blocks import edges, flat, ragged, runs, slices, view
+from lectio.llm.blocks import arrow_map, edges, flat, ragged, runs, slices, view
 from lectio.llm.tokens import encoder, vocabulary
-from lectio.session import importable
 
 CAPACITY, SENTENCE, HARD = 2048, 128, 1024
 #: doc_ids of a block; blocks are packed apart from one another, so each ends with a window of its own.
@@ -106,7 +105,6 @@ def pack(docs: DataFrame, vocab: str | None = None, capacity: int = CAPACITY, se
     repeat a doc_id are each packed, the one with fewer tokens first. Rows with a null doc_id are a block of their own, whose
     number is null. Further columns are ignored. An empty table gives no rows.
     """
-    importable(docs.sparkSession)
     path = vocab or vocabulary()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,6 +134,6 @@ def pack(docs: DataFrame, vocab: str | None = None, capacity: int = CAPACITY, se
                 yield pa.RecordBatch.from_arrays([part.column("block").take(pa.array(np.zeros(n, np.int64))), pa.array(np.arange(n)), *(pa.ListArray.from_arrays(edges_of, x) for x in lists), pa.array(high - low), pa.array(capacity - (high - low))], ["block", "window", "doc_ids", "starts", "ends", "n_tokens", "padding"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("block", F.floor(F.col("doc_id") / F.lit(block_ids)).cast("long"))
-    counted = rows.mapInArrow(count, "block long, doc_id long, n long, ends binary")
+    counted = arrow_map(rows, count, "block long, doc_id long, n long, ends binary")
     sorted_ = counted.repartition("block").sortWithinPartitions("block", "doc_id", "n", "ends")
-    return sorted_.mapInArrow(choose, "block long, window long, doc_ids array<long>, starts array<long>, ends array<long>, n_tokens long, padding long")
+    return arrow_map(sorted_, choose, "block long, window long, doc_ids array<long>, starts array<long>, ends array<long>, n_tokens long, padding long")

@@ -21,8 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectio.llm.blocks import flat, slices
-from lectio.session import importable
+from lectio.llm.blocks import arrow_map, flat, slices
 
 KEY = b"surrogates-1"
 
@@ -190,7 +189,6 @@ def replace(docs: DataFrame, key: bytes = KEY, count: str | None = "n_entities")
     name). Null texts stay null with a count of 0; empty texts, null ids and rows that repeat are treated like any other, and
     further columns stay as they are. A column that is called like `count` is replaced. An empty table gives no rows.
     """
-    importable(docs.sparkSession)
     work = docs.select(*(c for c in docs.columns if not count or c.lower() != count.lower()))
     place = next(i for i, c in enumerate(work.columns) if c.lower() == "text")
     length = next((i for i, c in enumerate(work.columns) if c.lower() == "n_chars"), None)
@@ -220,12 +218,11 @@ def replace(docs: DataFrame, key: bytes = KEY, count: str | None = "n_entities")
                         part = part.set_column(length, part.schema.field(length), pc.replace_with_mask(old, mask, pc.utf8_length(new).cast(old.type)))
                 yield pa.RecordBatch.from_arrays([*part.columns, *([pa.array(counts, pa.int64())] if count else [])], [*part.schema.names, *([count] if count else [])])
 
-    return work.mapInArrow(change, schema)
+    return arrow_map(work, change, schema)
 
 
 def entities(docs: DataFrame, key: bytes = KEY) -> DataFrame:
     """(doc_id, kind, original, surrogate), both in normal form: each mention of an entity."""
-    importable(docs.sparkSession)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         writer = Surrogates(key)
@@ -237,7 +234,7 @@ def entities(docs: DataFrame, key: bytes = KEY) -> DataFrame:
                     rows.append((doc, match.lastgroup, normal, writer.normal(match.lastgroup, new)))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [[]] * 4, (pa.int64(), pa.string(), pa.string(), pa.string()))], ["doc_id", "kind", "original", "surrogate"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(find, "doc_id long, kind string, original string, surrogate string")
+    return arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), find, "doc_id long, kind string, original string, surrogate string")
 
 
 def collisions(docs: DataFrame, key: bytes = KEY) -> DataFrame:

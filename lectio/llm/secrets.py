@@ -16,8 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectio.llm.blocks import flat, slices, spans, view
-from lectio.session import importable
+from lectio.llm.blocks import arrow_map, flat, slices, spans, view
 
 WINDOW = 20
 #: Bits of the best window that make a finding, for each class of characters.
@@ -116,7 +115,6 @@ def find(docs: DataFrame, window: int = WINDOW, thresholds: dict[str, float] = T
     both cases). Every candidate of at least `window` characters is judged along its whole length. Null and empty texts have
     no findings; a null doc_id is reported as null; each row is scanned, also those that repeat. Further columns are ignored.
     """
-    importable(docs.sparkSession)
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -127,12 +125,11 @@ def find(docs: DataFrame, window: int = WINDOW, thresholds: dict[str, float] = T
                     preview = [data[a : a + 4].tobytes().decode() for a in (at[text] + start).tolist()]
                     yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(text)), pa.array(start), pa.array(end - start), pa.array(kind.tolist(), pa.string()), pa.array(np.round(entropy, 6)), pa.array(preview, pa.string())], ["doc_id", "start", "length", "kind", "entropy", "preview"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(look, "doc_id long, start long, length long, kind string, entropy double, preview string")
+    return arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), look, "doc_id long, start long, length long, kind string, entropy double, preview string")
 
 
 def redact(docs: DataFrame, window: int = WINDOW, thresholds: dict[str, float] = THRESHOLDS, mask: str = MASK) -> DataFrame:
     """docs with every finding in text replaced by the mask, and n_chars set anew in the rows that had one; all else, nulls included, as it was."""
-    importable(docs.sparkSession)
     schema = docs.schema
     place = next(i for i, c in enumerate(docs.columns) if c.lower() == "text")
     length = next((i for i, c in enumerate(docs.columns) if c.lower() == "n_chars"), None)
@@ -157,4 +154,4 @@ def redact(docs: DataFrame, window: int = WINDOW, thresholds: dict[str, float] =
                         part = part.set_column(length, part.schema.field(length), pa.compute.replace_with_mask(old, pa.array(hit), sizes))
                 yield part
 
-    return docs.mapInArrow(change, schema)
+    return arrow_map(docs, change, schema)

@@ -20,7 +20,7 @@ from lectio.llm.blocks import hashes, view
 
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Pieces that a worker remembers; when there are more it starts anew.
-MEMORY = 1 << 20
+MEMORY = 1 << 19
 
 SIGN, LETTER, NUMBER, BLANK = 0, 1, 2, 3
 

@@ -20,9 +20,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectio.llm.blocks import SLICE_BYTES, slices
+from lectio.llm.blocks import SLICE_BYTES, arrow_map, slices
 from lectio.llm.tokens import encoder, vocabulary
-from lectio.session import importable
 
 MAGIC, BLOCK = b"WVM1", 1 << 15
 HEAD = struct.Struct("<4sHHIIQ")
@@ -168,7 +167,6 @@ def shard_files(docs: DataFrame, vocab: str | None = None, shard_tokens: int = S
     stay in the task that reads them, so shards follow the partitions of docs (shard is partition and number); a text is
     never cut, however long. Further columns are ignored. An empty table gives no rows.
     """
-    importable(docs.sparkSession)
     path = vocab or vocabulary()
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,12 +197,11 @@ def shard_files(docs: DataFrame, vocab: str | None = None, shard_tokens: int = S
         if held:
             yield flush()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(pack, "shard string, n_docs long, n_tokens long, doc_ids array<long>, file binary")
+    return arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), pack, "shard string, n_docs long, n_tokens long, doc_ids array<long>, file binary")
 
 
 def find_token(files: DataFrame, token: int) -> DataFrame:
     """(shard, doc_id, place): each occurrence of a token, place counting tokens of its document from 0; doc_id is -1 where it was null."""
-    importable(files.sparkSession)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -214,4 +211,4 @@ def find_token(files: DataFrame, token: int) -> DataFrame:
                 doc = np.searchsorted(wave.first, at, "right") - 1
                 yield pa.RecordBatch.from_arrays([pa.array([shard] * len(at), pa.string()), pa.array(wave.ids[doc]), pa.array(at - wave.first[doc])], ["shard", "doc_id", "place"])
 
-    return files.select("shard", "file").mapInArrow(find, "shard string, doc_id long, place long")
+    return arrow_map(files.select("shard", "file"), find, "shard string, doc_id long, place long")
