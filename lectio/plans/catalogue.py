@@ -1,10 +1,6 @@
 """All registered queries of the library."""
 
-from __future__ import annotations
+from lectio.plans import layouts, lines, relational, streams, texts, web  # noqa: F401
+from lectio.plans.registry import ORACLE_SQL, QUERIES
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]
