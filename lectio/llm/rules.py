@@ -13,7 +13,7 @@ LEAST_KEPT = 0.5
 #: Separators that make a line one of navigation, and words that a shorter line of nothing else is made of.
 SEPARATORS = 3
 NAVIGATION = "home|next|previous|prev|back|menu|login|log in|logout|sign in|sign up|register|search|contact|contact us|about|about us|sitemap|faq|help|top|share|print|rss"
-#: Phrases of boilerplate, which fail a line of so many characters at most: a longer one that has them is prose.
+#: Phrases of boilerplate, which fail a line of any length. Only ORACLE, whose SQL stays as it was, stops at so many characters.
 BOILERPLATE_CHARS = 200
 BOILERPLATE = "all rights reserved|cookie policy|privacy policy|terms of (use|service)|this (work|file|software) is licensed|^licensed under|^released under|^copyright|click here|read more|subscribe to our|enable javascript|powered by"
 #: Runs of signs such as "%%%" or "!!", which running text hasn't; a line with so many for each of its words fails.
@@ -27,9 +27,17 @@ def _line(duck: bool) -> str:
     hit = (lambda p: f"regexp_matches(l, '{p}')") if duck else (lambda p: f"l RLIKE '{p}'")
     count = (lambda p: f"len(regexp_extract_all(l, '{p}'))") if duck else (lambda p: f"regexp_count(l, '{p}')")
     words = "(length(l) - length(replace(l, ' ', '')) + 1)"
-    navigation = f"length(l) - length(replace(l, '|', '')) >= {SEPARATORS} OR (length(l) <= 80 AND {hit(f'(?i)^(({NAVIGATION})[ >|/]*)+$')})"
+    bars = f"length(l) - length(replace(l, '|', '')) >= {SEPARATORS}"
+    if duck:
+        navigation = f"{bars} OR (length(l) <= 80 AND {hit(f'(?i)^(({NAVIGATION})[ >|/]*)+$')})"
+        boilerplate = f"(length(l) <= {BOILERPLATE_CHARS} AND {hit(f'(?i)({BOILERPLATE})')})"
+    else:
+        # Possessive, so that a menu of any length takes neither stack nor backtracking; for that, longer words stand first.
+        menu = "|".join(sorted(NAVIGATION.split("|"), key=len, reverse=True))
+        navigation = f"{bars} OR {hit(f'(?i)^(?:(?:{menu})[ >|/]*+)++$')}"
+        boilerplate = hit(f"(?i)({BOILERPLATE})")
     punctuation = f"{count(NOISE)} >= {NOISE_SHARE}e0 * {words} OR ({words} >= {LONG_LINE} AND NOT {hit('[.!?:;,。！？]')})"
-    return f"NOT ({navigation} OR (length(l) <= {BOILERPLATE_CHARS} AND {hit(f'(?i)({BOILERPLATE})')}) OR {punctuation})"
+    return f"NOT ({navigation} OR {boilerplate} OR {punctuation})"
 
 
 def _trimmed(duck: bool) -> str:

@@ -91,6 +91,15 @@ def test_quality_rules(docs_of):
     assert got[1].text == f"{keep}\n\n{keep}" and got[1].n_chars == len(got[1].text) and got[4].text == "Heading\n" + keep
 
 
+def test_quality_rules_judge_lines_of_any_length(docs_of):
+    keep = "A plain sentence, with its marks, stands here for all to read."
+    notice = "This file is part of a larger work, and it is given as it stands. " * 5 + "All rights reserved."
+    menu = "Contact us > about us / previous > " * 4000 + "login"
+    rows = [(1, f"{notice}\n{keep * 20}"), (2, f"{keep}\n{menu}"), (3, notice), (4, keep * 20), (5, f"{keep * 2500}\n{menu}")]
+    got = {r.doc_id: r.text for r in rules.clean(docs_of(rows)).collect()}
+    assert got == {1: keep * 20, 4: keep * 20, 5: keep * 2500}
+
+
 def test_quality_rules_odd_rows(odd, clash):
     got = rules.clean(clash)
     assert got.columns == clash.columns
