@@ -9,7 +9,8 @@ nearly all unrelated texts end with no postings, however often a boilerplate lin
 Skip: the long lists, which are all behind the prefix, are never merged; a candidate's collisions in them are counted by
 probing the two signatures, which the postings carry. A pair is reported from its first common token only.
 
-Identical signatures are one class, joined by its smallest doc_id, so copies cost nothing in the join.
+Identical signatures are one class, joined by its smallest doc_id, so copies cost nothing in the join; all_pairs then names
+the pairs of their members too.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ from lectio.session import materialise
 K, M, SHINGLE = 64, 28, 3
 #: Removed ids are broadcast up to this many bytes and joined by shuffle beyond.
 BROADCAST_BYTES = 16 << 20
+#: Members of a class that travel as one list; a larger class is several lists, whose pairs are spread over tasks.
+MEMBERS = 1024
 #: Cells of the comparison of signatures that are held at once.
 CELLS = 2 << 20
 
@@ -227,6 +230,33 @@ def near_duplicates(docs: DataFrame, k: int = K, m: int = M, shingle: int = SHIN
     return pairs.unionByName(copies).dropDuplicates(["doc_a", "doc_b"])
 
 
+def all_pairs(docs: DataFrame, k: int = K, m: int = M, shingle: int = SHINGLE) -> DataFrame:
+    """(doc_a, doc_b, matches): every pair of documents that collide in m to k coordinates, doc_a < doc_b, once.
+
+    The pairs of near_duplicates with each class replaced by all of its members, so n copies make n (n - 1) / 2 pairs. What
+    takes no part there takes none here. A doc_id that repeats with other texts is paired by the best of them.
+    """
+    pairs, copies = near_pairs(docs, k, m, shingle)
+    pairs, copies = materialise(pairs, "pairs"), materialise(copies, "copies")
+    members = copies.select(F.col("doc_a").alias("rep"), F.col("doc_b").alias("id")).union(copies.select("doc_a", "doc_a")).distinct()
+    place = F.row_number().over(Window.partitionBy("rep").orderBy("id")) - 1
+    lists = members.withColumn("part", F.floor(place / MEMBERS)).groupBy("rep", "part").agg(F.collect_list("id").alias("ids"))
+    lists = materialise(lists, "members")
+    side = lambda c: lists.select(F.col("rep").alias(f"doc_{c}"), F.col("part").alias(f"part_{c}"), F.col("ids").alias(f"ids_{c}"))
+    held = lambda c: F.coalesce(f"ids_{c}", F.array(f"doc_{c}")).alias(f"ids_{c}")
+    across = pairs.join(side("a"), "doc_a", "left").join(side("b"), "doc_b", "left").select("matches", held("a"), held("b"))
+    inside = side("a").join(side("b"), F.expr("doc_a = doc_b AND part_a <= part_b")).select(F.lit(k).alias("matches"), "ids_a", "ids_b", (F.col("part_a") == F.col("part_b")).alias("own"))
+    both = across.withColumn("own", F.lit(False)).unionByName(inside)
+    large = "size(ids_a) * size(ids_b) > 1024"
+    both = both.where(f"NOT ({large})").unionByName(both.where(large).repartition(F.xxhash64("ids_a", "ids_b")))
+    each = both.select("matches", "own", "ids_b", F.explode("ids_a").alias("a")).select("matches", "own", "a", F.explode("ids_b").alias("b")).where("a <> b AND NOT (own AND a > b)")
+    out = each.select(F.least("a", "b").alias("doc_a"), F.greatest("a", "b").alias("doc_b"), "matches")
+    ids = docs.select(F.col("doc_id").cast("long").alias("id")).where("id IS NOT NULL AND text IS NOT NULL")
+    if ids.groupBy("id").count().where("count > 1").isEmpty():
+        return out
+    return out.groupBy("doc_a", "doc_b").agg(F.max("matches").alias("matches"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): the smallest node of each connected component, by alternating large and small stars, for every node
     but the roots. Each round is written to the shared folder, so no lineage grows."""

@@ -68,6 +68,33 @@ def test_near_duplicates_find_edited_copies(docs_of):
     assert got == {(i, i + 12) for i in range(12)}
 
 
+def _all_pairs(sigs, m):
+    ids = sorted(sigs)
+    sig = np.array([sigs[i] for i in ids])
+    out = {}
+    for i, a in enumerate(ids):
+        n = (sig[i] == sig[i + 1 :]).sum(1)
+        out |= {(a, ids[i + 1 + j]): int(n[j]) for j in np.flatnonzero(n >= m)}
+    return out
+
+
+@pytest.mark.parametrize("members", [1, 1024])
+def test_all_pairs_match_brute_force_over_all_rows(spark, data, docs_of, monkeypatch, members):
+    from lectio.llm.queries import QUERIES
+
+    monkeypatch.setattr(minhash, "MEMBERS", members)
+    small = data.replace("0.001", "0.01")
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").collect()]
+    got = QUERIES["op9_near_duplicates"](spark, small).collect()
+    assert {(r.doc_a, r.doc_b): r.matches for r in got} == _all_pairs(_signatures(rows), minhash.M) and len(got) == len({(r.doc_a, r.doc_b) for r in got})
+    near = " ".join(f"w{i}" for i in range(200))
+    rows = [*((i, "the very same text of some words") for i in range(100, 160)), *((i, near) for i in (5, 1, 9)), *((i, near + " more") for i in (7, 2)), (3, None), (4, "")]
+    got = minhash.all_pairs(docs_of(rows)).collect()
+    assert {(r.doc_a, r.doc_b): r.matches for r in got} == _all_pairs(_signatures([r for r in rows if r[1]]), minhash.M) and len(got) == 1770 + 10
+    got = minhash.all_pairs(docs_of([*rows, (1, near + " more"), (1, near)])).collect()
+    assert len(got) == 1780 == len({(r.doc_a, r.doc_b) for r in got}) and next(r.matches for r in got if (r.doc_a, r.doc_b) == (1, 2)) == minhash.K
+
+
 def test_near_duplicates_odd_rows(odd, clash, docs_of):
     assert minhash.near_duplicates(clash).collect() == []
     kept = minhash.deduplicate(clash)
