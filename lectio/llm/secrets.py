@@ -20,10 +20,15 @@ from lectio.llm.blocks import arrow_map, flat, slices, spans, view
 
 WINDOW = 20
 #: Bits of the best window that make a finding, for each class of characters.
-THRESHOLDS = {"hex": 2.8, "alnum": 3.4, "base64": 3.6}
+THRESHOLDS = {"hex": 2.8, "alnum": 3.4, "base64": 3.6, "mixed": 3.8}
 #: Values, and the text before a value, that are known not to be secret.
 ALLOWED_VALUES = (rb"(?i)example", rb"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$", rb"(?i)0123456789abcdef", rb"(?i)abcdefghijklmnop")
-ALLOWED_BEFORE = (rb"(?i)\b(commit|sha1|sha256|sha512|md5|checksum|digest|integrity|etag|rev)\W{0,3}(sha\d+-)?$", rb"(?i)://\S*$", rb"(?i)\bdata:\S*$")
+ALLOWED_BEFORE = (rb"(?i)\b(commit|sha1|sha256|sha512|md5|checksum|digest|integrity|etag|rev)\W{0,3}(sha\d+-)?$", rb"(?i)\bdata:\S*$")
+#: Within the host or path of an address (not its query or user) hex hashes and runs of words and numbers are known not to be secret.
+ADDRESS, USER = rb"://([^\s?#]*)$", rb"[^\s/?#]*@"
+WORDS = rb"[/+_-]*(?:[A-Za-z]+|\d+)(?:[/+_-]+(?:[A-Za-z]+|\d+))*[/+_-]*"
+#: So are, anywhere, lower-case words and numbers of the mixed class, such as names of files.
+LOWER_WORDS = WORDS.replace(b"A-Z", b"")
 MASK = "[SECRET]"
 
 _PARTS = "+/-_"
@@ -36,6 +41,8 @@ _DIGIT[48:58], _UPPER[65:91], _LOWER[97:123] = True, True, True
 _OTHER[[*map(ord, _PARTS)]] = True
 _HEX[[*range(48, 58), *range(65, 71), *range(97, 103)]] = True
 _LOG = np.r_[0.0, np.arange(1, 4096) * np.log2(np.arange(1, 4096))]
+_PART, _SEGMENT = _CANDIDATE & ~_OTHER, _CANDIDATE.copy()
+_SEGMENT[ord("/")] = False
 #: Places of a candidate that are stepped through as one row; a longer one is several rows that overlap by a window.
 ROW = 256
 
@@ -85,34 +92,62 @@ def scan(texts: pa.Array, window: int = WINDOW, thresholds: dict[str, float] = T
     start, end = start[keep], end[keep]
     if not len(start):
         return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, "U6"), np.zeros(0))
+    owner, level, begin, whole = np.arange(len(start)), np.zeros(len(start), np.int8), start, end
+    for n, table in ((1, _SEGMENT), (2, _PART)):  # what lies between slashes, and between any separators
+        s, e, _ = spans(data, at, table)
+        s, e = s[e - s >= window], e[e - s >= window]
+        of = np.searchsorted(begin, s, "right") - 1
+        inner = (s > begin[of]) | (e < whole[of])
+        start, end, owner, level = np.r_[start, s[inner]], np.r_[end, e[inner]], np.r_[owner, of[inner]], np.r_[level, np.full(inner.sum(), n, np.int8)]
 
     def has(table: np.ndarray) -> np.ndarray:
         total = np.r_[0, np.cumsum(table[data])]
         return total[end] - total[start]
 
     digit, upper, lower, other, hexa = map(has, (_DIGIT, _UPPER, _LOWER, _OTHER, _HEX))
-    size = end - start
-    kind = np.where((hexa == size) & ((upper == 0) | (lower == 0)) & (upper + lower > 0) & (digit > 0), "hex", np.where((other == 0) & (digit > 0) & (upper + lower > 0), "alnum", np.where((digit > 0) & (upper > 0) & (lower > 0), "base64", "")))
-    some = np.flatnonzero(kind != "")
-    text, start, end, kind = text[some], start[some], end[some], kind[some]
+    size, some = end - start, (digit > 0) & (upper + lower > 0)
+    kind = np.where(~some, "", np.where((hexa == size) & ((upper == 0) | (lower == 0)), "hex", np.where(other == 0, "alnum", np.where((upper > 0) & (lower > 0), "base64", "mixed"))))
+    some = np.flatnonzero(some)
+    start, end, kind, owner, level = start[some], end[some], kind[some], owner[some], level[some]
     if not len(start):
-        return text, start, end, kind, np.zeros(0)
+        return text[owner], start, end, kind, np.zeros(0)
     entropy = best_entropy(data, start, end, window)
-    some = np.flatnonzero(entropy >= np.array([thresholds[k] for k in kind.tolist()]))
-    keep = []
-    for i in some.tolist():
-        s, e, low = int(start[i]), int(end[i]), int(at[text[i]])
+    some = np.flatnonzero(entropy >= np.array([thresholds.get(k, THRESHOLDS[k]) for k in kind.tolist()]))
+    keep, last, done, digest, address = [], -1, [], False, False
+    for i in some[np.lexsort((start[some], level[some], owner[some]))].tolist():
+        s, e, o = int(start[i]), int(end[i]), int(owner[i])
+        low, high = int(at[text[o]]), int(at[text[o] + 1])
+        if o != last:
+            b = int(begin[o])
+            before = data[max(low, b - 200) : b].tobytes()
+            digest = any(re.search(p, before) for p in ALLOWED_BEFORE)
+            address = re.search(ADDRESS, before + data[b : b + 2].tobytes()) is not None
+            last, done = o, []
         value, before = data[s:e].tobytes(), data[max(low, s - 200) : s].tobytes()
-        keep.append(not any(re.search(p, value) for p in ALLOWED_VALUES) and not any(re.search(p, before) for p in ALLOWED_BEFORE))
-    some = some[np.array(keep, bool)]
-    return text[some], start[some] - at[text[some]], end[some] - at[text[some]], kind[some], entropy[some]
+        if digest or level[i] == 0 and address and b"/" in value or level[i] == 1 and not address or any(a <= s and e <= z for a, z in done):
+            continue
+        if any(re.search(p, value) for p in ALLOWED_VALUES) or any(re.search(p, before) for p in ALLOWED_BEFORE):
+            continue
+        inside = re.search(ADDRESS, before)
+        if inside and (b"/" in inside[1] or not re.match(USER, data[e : min(high, e + 200)].tobytes())):
+            if kind[i] == "hex" or re.fullmatch(WORDS, value):
+                continue
+        if kind[i] == "mixed" and re.fullmatch(LOWER_WORDS, value):
+            continue
+        done.append((s, e))
+        keep.append(i)
+    some = np.array(sorted(keep, key=lambda i: start[i]), np.int64)
+    text = text[owner[some]]
+    return text, start[some] - at[text], end[some] - at[text], kind[some], entropy[some]
 
 
 def find(docs: DataFrame, window: int = WINDOW, thresholds: dict[str, float] = THRESHOLDS) -> DataFrame:
     """(doc_id, start, length, kind, entropy, preview): every finding, in bytes of the UTF-8 text; preview is its first four characters.
 
     Kinds: hex (digits and letters a to f of one case), alnum (letters and digits), base64 (with +, /, - or _, and digits and
-    both cases). Every candidate of at least `window` characters is judged along its whole length. Null and empty texts have
+    both cases), mixed (the same with letters of one case). Every candidate of at least `window` characters that has a digit
+    and a letter is judged along its whole length, and where it isn't a finding, so are its parts between separators, as
+    far as they have that length. In addresses what is between slashes takes the place of the whole. Null and empty texts have
     no findings; a null doc_id is reported as null; each row is scanned, also those that repeat. Further columns are ignored.
     """
 

@@ -75,6 +75,23 @@ def test_secret_scan_finds_and_allows(spark, docs_of):
     assert masked[0].text == "a [SECRET] b [SECRET]." and masked[0].n_chars == len(masked[0].text) and masked[1].text == "plain"
 
 
+def test_secret_scan_judges_prefixed_and_addressed_tokens(docs_of):
+    low, token = "3ax6xnjp29jd6fds4gc373sgvjxteol0", "Zx81kqPLw0f8QmT4bNn2vYc7Rj5Ds9"
+    found = {
+        f"key-{low}": low, f"api_{HEX}": HEX, f"API_{HEX.upper()}": HEX.upper(), "ax81-kq0w-7fzm-t4bn-2vyc-9rj5": "ax81-kq0w-7fzm-t4bn-2vyc-9rj5",
+        f"https://x.org/a?token={token}&b=1": token, f"https://x.org/a?key={HEX}": HEX, f"https://hooks.x.org/services/T01/B02/{token}": token,
+        f"postgres://user:{token}@host/db": token, f"https://{HEX}@host.org/a": HEX, f"https://user:{HEX}@host.org/a": HEX, f"https://{HEX}:x@host.org/a": HEX,
+    }
+    harmless = [f"https://x.org/a/commit/{HEX}", "https://x.org/blog/2024/05/12/Some-Quite-Long-Title-of-a-Page_17", "https://my-quiet-bucket-2024-west.x.org/", f"commit {HEX}", "see src/lib/quite-long-names/2024/fox_jumps", "id 123e4567-e89b-12d3-a456-426614174000", f"sha256: abc-{HEX}"]
+    docs = docs_of(list(enumerate([*(f"see {t} end" for t in found), *harmless])))
+    text = {r.doc_id: r.text for r in docs.collect()}
+    got = sorted((r.doc_id, text[r.doc_id][r.start : r.start + r.length]) for r in secrets.find(docs).collect())
+    assert [i for i, _ in got] == list(range(len(found)))
+    assert all(want in value for (_, value), want in zip(got, found.values()))
+    masked = {r.doc_id: r.text for r in secrets.redact(docs).collect()}
+    assert all(want not in masked[i] for i, want in enumerate(found.values())) and all(masked[i] == text[i] for i in range(len(found), len(text)))
+
+
 def test_secret_scan_odd_rows(odd, clash):
     assert secrets.find(odd).count() == 0 and secrets.find(odd.limit(0)).count() == 0
     assert sorted(map(repr, secrets.redact(clash).collect())) == sorted(map(repr, clash.collect()))
