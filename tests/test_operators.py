@@ -75,6 +75,19 @@ def test_layout_recovers_metadata(spark):
     assert layout.parse_titles(layout.label_rounds(none)).count() == 0
 
 
+def test_known_items_are_held_by_plain_containment(spark, tmp_path):
+    from lectio.plans.catalogue import QUERIES
+
+    texts = ["On the weight of evidence, a long essay of many more words than that.", "A Calculus of Reading Rooms", "Smart of war and peace in our own times again, it says.", "none of it", None, ""]
+    items = ["Weight of Evidence", "a calculus of reading rooms", "rooms", "Art of war and peace in our own time", "essay of many more words than that", "is absent here", "of it", "", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    plain = lambda t: " ".join("".join(c if c.isalnum() else " " for c in (t or "").lower()).split())
+    want = {(i, j) for i, t in enumerate(texts) for j, k in enumerate(items) if plain(k) and plain(k) in plain(t)}
+    got = [(r.doc_id, r.item_id) for r in QUERIES["known_item_contains"](spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted(want) and len(want) >= 6
+
+
 def test_lines_from_xml(spark):
     xml = '<pages><page number="2" width="9"><fontspec id="0" size="17" family="x"/><text top="5" left="7" width="3" height="4" font="0">A <b>bold</b> word</text>\n<text top="9" left="7" width="3" height="4" font="8">Next</text></page></pages>'
     rows = lines_from_xml(spark.createDataFrame([(1, xml), (2, None), (3, "")], "doc_id long, xml string")).orderBy("line_no").collect()
