@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -88,6 +90,29 @@ def test_known_items_are_held_by_plain_containment(spark, tmp_path):
     assert sorted(got) == sorted(want) and len(want) >= 6
 
 
+def test_best_reading_is_that_of_all_readings():
+    rng = np.random.default_rng(4)
+    for _ in range(150):
+        n = int(rng.integers(1, 7))
+        number, p, q = np.cumsum(rng.integers(1, 3, n)), rng.integers(0, 11, n) / 10, rng.integers(0, 11, n) / 10
+        some = (p >= 0.3) | (q >= 0.3)
+        number, p, q = number[some], p[some], q[some]
+        best = 0.0
+        for labels in itertools.product("TA-", repeat=len(number)):
+            t, a = ([i for i, x in enumerate(labels) if x == k] for k in "TA")
+            if not t or number[t[-1]] - number[t[0]] != len(t) - 1 or min(p[t]) < 0.3 or a and (min(q[a]) < 0.3 or min(a) < t[0] and max(a) > t[-1]):
+                continue
+            missed = max([max(p[i], q[i]) for i, x in enumerate(labels) if x == "-"], default=0.0)
+            best = max(best, p[t].mean() * (min(q[a]) if a else 0.5) * (1 - 0.5 * missed))
+        assert layout._best_reading(number, p, q, 0.3)[0] == pytest.approx(best)
+
+
+def test_title_is_found_among_many_candidates(spark):
+    rows = [(1, 2 * i, f"Line {i}", 0.35, 0.3) for i in range(60)] + [(1, 200, "The Real", 0.95, 0.1), (1, 201, "Title", 0.9, 0.1), (1, 203, "Ada Lane", 0.1, 0.9)]
+    row = layout.parse_titles(spark.createDataFrame(rows, "doc_id long, line_no long, text string, p_TITLE double, p_AUTHOR double")).first()
+    assert (row.title, row.authors) == ("The Real Title", "Ada Lane")
+
+
 def test_lines_from_xml(spark):
     xml = '<pages><page number="2" width="9"><fontspec id="0" size="17" family="x"/><text top="5" left="7" width="3" height="4" font="0">A <b>bold</b> word</text>\n<text top="9" left="7" width="3" height="4" font="8">Next</text></page></pages>'
     rows = lines_from_xml(spark.createDataFrame([(1, xml), (2, None), (3, "")], "doc_id long, xml string")).orderBy("line_no").collect()
