@@ -7,31 +7,31 @@ Prefix: tokens have one global order, rarest first. Of texts that collide M time
 share one, so only those are posted. A token that a single text has can't collide, yet takes up a place in the prefix, so
 nearly all unrelated texts end with no postings, however often a boilerplate line gives them a token in common.
 Skip: the long lists, which are all behind the prefix, are never merged; a candidate's collisions in them are counted by
-probing the two signatures, which the postings carry. A pair is reported from its first common token only.
+probing the two signatures, which the postings carry. A pair counts at its first common token only.
 
-Identical signatures are one class, joined by its smallest doc_id, so copies cost nothing in the join; all_pairs then names
-the pairs of their members too.
+Identical signatures are one class, so copies cost nothing in the join. A list that may hold more than LIST classes is cut
+into blocks, and each pair of blocks is a list of its own: no task holds more than two blocks, whatever the token.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectio.llm.blocks import arrow_map, mix, slices, words
+from lectio.llm.blocks import arrow_map, joined, mix, ragged, slices, words
 from lectio.session import materialise
 
 K, M, SHINGLE = 64, 28, 3
 #: Removed ids are broadcast up to this many bytes and joined by shuffle beyond.
 BROADCAST_BYTES = 16 << 20
-#: Members of a class that travel as one list; a larger class is several lists, whose pairs are spread over tasks.
-MEMBERS = 1024
-#: Cells of the comparison of signatures that are held at once.
-CELLS = 2 << 20
+#: Classes of a block of a posting list.
+LIST = 16_384
+#: Rows and columns of signatures that are compared at once; lists up to SMALL are compared together, so many pairs at once.
+TILE, SMALL, PAIRS = 512, 96, 1 << 14
 
 _SEEDS = mix(np.arange(1, 2 * 1024 + 1, dtype=np.uint64))
 
@@ -77,14 +77,14 @@ def signatures(docs: DataFrame, k: int = K, shingle: int = SHINGLE) -> DataFrame
     return arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL AND text IS NOT NULL"), sign, "doc_id long, sig binary")
 
 
-def _tokens(reps: DataFrame, k: int) -> DataFrame:
+def _tokens(classes: DataFrame, k: int) -> DataFrame:
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint32).reshape(-1, k).astype(np.int64)
             token = sig + (np.arange(k, dtype=np.int64) << 32)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column("rep").to_numpy(zero_copy_only=False), k)), pa.array(token.ravel())], ["rep", "token"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column("node").to_numpy(zero_copy_only=False), k)), pa.array(token.ravel())], ["node", "token"])
 
-    return arrow_map(reps, tokens, "rep long, token long")
+    return arrow_map(classes.select("node", "sig"), tokens, "node long, token long")
 
 
 def _order(q: np.ndarray, token: np.ndarray) -> np.ndarray:
@@ -92,7 +92,9 @@ def _order(q: np.ndarray, token: np.ndarray) -> np.ndarray:
     return (q.astype(np.uint64) << np.uint64(56)) | (mix(token.astype(np.uint64)) >> np.uint64(8))
 
 
-def _postings(candidates: DataFrame, k: int, m: int) -> DataFrame:
+def _postings(candidates: DataFrame, k: int, m: int, most: int) -> DataFrame:
+    """(token, i, j, side, node, rep, size, packed): the prefix of each class; a token that more than `most` classes may have is posted once for each pair (i, j) of blocks that the class is in."""
+
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column("tokens")
@@ -106,116 +108,252 @@ def _postings(candidates: DataFrame, k: int, m: int) -> DataFrame:
             sort = np.lexsort((_order(q, token), row))
             place = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
             head = place < size[row] - m + 1
-            token, row = token[sort][head], row[head]
+            token, q, row = token[sort][head], q[sort][head], row[head]
             packed = pa.array([v.tobytes() + r.tobytes() for v, r in zip(values, ranks)], pa.binary())
-            for at in range(0, len(row), 4096):
-                part = pa.array(row[at : at + 4096])
-                yield pa.RecordBatch.from_arrays([pa.array(token[at : at + 4096]), batch.column("rep").take(part), packed.take(part)], ["token", "rep", "packed"])
-
-    return arrow_map(candidates, post, "token long, rep long, packed binary")
-
-
-def _collide(token: int, rep: np.ndarray, packed: list[bytes], k: int, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs of a posting list with M collisions whose first common token is this one."""
+            blocks = np.ceil(2.0 ** ((q.astype(float) + 1) / 8) / most).astype(np.int64)
+            mine = (mix(batch.column("node").to_numpy(zero_copy_only=False)[row].astype(np.uint64)) % blocks.astype(np.uint64)).astype(np.int64)
+            total = np.r_[0, np.cumsum(blocks)]
+            for at in range(0, int(total[-1]), 4096):
+                line = np.arange(at, min(at + 4096, int(total[-1])))
+                p = np.searchsorted(total, line, "right") - 1
+                own, other = mine[p], line - total[p]
+                part = pa.array(row[p])
+                columns = [pa.array(token[p]), pa.array(np.minimum(own, other)), pa.array(np.maximum(own, other)), pa.array(own > other), *(batch.column(c).take(part) for c in ("node", "rep", "size")), packed.take(part)]
+                yield pa.RecordBatch.from_arrays(columns, ["token", "i", "j", "side", "node", "rep", "size", "packed"])
+
+    return arrow_map(candidates, post, "token long, i long, j long, side boolean, node long, rep long, size long, packed binary")
+
+
+def _codes(packed: list[bytes], k: int, m: int, own: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which members of a list have M tokens that some other member has; for these and each coordinate a small code of such a
+    token, the same for equal ones and 0 for all others; and, with an own token, the codes of tokens that come before it."""
     raw = np.frombuffer(b"".join(packed), np.uint8).reshape(-1, 5 * k)
     values, ranks = raw[:, : 4 * k].copy().view(np.uint32), raw[:, 4 * k :]
-    order = _order(ranks, values.astype(np.int64) + (np.arange(k, dtype=np.int64) << 32))
-    own = order[0, token >> 32]
-    left, right, hits = [], [], []
-    step = max(1, CELLS // (k * len(rep)))
-    for at in range(0, len(rep), step):
-        i = slice(at, min(at + step, len(rep)))
-        same = (values[i, None] == values[None, at:]) & (ranks[i, None] > 0) & (ranks[None, at:] > 0)
-        n = same.sum(-1, dtype=np.int16)
-        a, b = np.nonzero(n >= m)
-        keep = b > a
-        a, b = a[keep], b[keep]
-        if not len(a):
+    token = values.astype(np.int64) + (np.arange(k, dtype=np.int64) << 32)
+    some = np.flatnonzero((ranks > 0).ravel())
+    value, first, back, count = np.unique(token.ravel()[some], return_index=True, return_inverse=True, return_counts=True)
+    shared = count > 1
+    column = value >> 32
+    number = np.cumsum(shared)
+    start = np.r_[0, number][np.searchsorted(column, np.arange(k))]
+    code = np.where(shared, number - start[column], 0)
+    kind = next(t for t in (np.uint8, np.uint16, np.uint32) if int(code.max(initial=0)) < np.iinfo(t).max)
+    codes = np.zeros(token.size, kind)
+    codes[some] = code[back]
+    codes = codes.reshape(-1, k)
+    live = np.flatnonzero((codes > 0).sum(1) >= m)
+    before = np.zeros((k, 0), kind)
+    if own is not None and len(live) > 1:
+        order = _order(ranks.ravel()[some[first]], value)
+        early = np.zeros(token.size, kind)
+        early[some] = np.where(order < order[np.searchsorted(value, own)], code, 0)[back]
+        before = early.reshape(-1, k)[live].T.copy()
+    return live, codes[live].T.copy(), before
+
+
+def _other(codes: np.ndarray) -> np.ndarray:
+    """The codes with a second sign for none, so that none equals none of the first."""
+    return np.where(codes == 0, np.iinfo(codes.dtype).max, codes).astype(codes.dtype)
+
+
+def _count(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Collisions of each member of left with each of right, both by coordinate."""
+    out, same = np.zeros((left.shape[1], right.shape[1]), np.uint8 if len(left) < 256 else np.uint16), np.empty((left.shape[1], right.shape[1]), bool)
+    for a, b in zip(left, right):
+        np.equal(a[:, None], b[None], out=same)
+        np.add(out, same, out=out)
+    return out
+
+
+def _hits(codes: np.ndarray, before: np.ndarray, side: np.ndarray, across: bool, m: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Pairs of members with M collisions that have no token before in common, and how many; across: only of different sides."""
+    n, other = codes.shape[1], _other(codes)
+    used = np.flatnonzero(before.any(1)) if before.shape[1] else np.zeros(0, np.int64)
+    used = used[np.argsort([-np.bincount(before[c])[1:].max(initial=0) for c in used], kind="stable")]
+    mine, theirs = (before[used], _other(before[used])) if len(used) else (codes[:0], codes[:0])
+    for s in range(0, n, TILE):
+        for t in range(s, n, TILE):
+            i, j = slice(s, min(s + TILE, n)), slice(t, min(t + TILE, n))
+            live = side[i, None] != side[None, j] if across else np.ones((i.stop - s, j.stop - t), bool)
+            if s == t:
+                live &= np.triu(np.ones_like(live), 1)
+            for x, (a, b) in enumerate(zip(mine[:, i], theirs[:, j])):
+                live &= a[:, None] != b[None]
+                if x % 4 == 0 and not live.any():
+                    break
+            if not live.any():
+                continue
+            if live.mean() < 0.02:
+                a, b = np.nonzero(live)
+                found = (codes[:, s + a] == other[:, t + b]).sum(0)
+                keep = found >= m
+                a, b, found = a[keep], b[keep], found[keep]
+            else:
+                count = _count(codes[:, i], other[:, j])
+                a, b = np.nonzero(live & (count >= m))
+                found = count[a, b]
+            if len(a):
+                yield s + a, t + b, found.astype(np.int32)
+
+
+def _union(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Labels (each the least index of its group) after the groups of a and b are joined."""
+    while True:
+        high, low = np.maximum(label[a], label[b]), np.minimum(label[a], label[b])
+        differ = high != low
+        if not differ.any():
+            return label
+        a, b, parent = a[differ], b[differ], np.arange(len(label))
+        np.minimum.at(parent, high[differ], low[differ])
+        while (parent[parent] != parent).any():
+            parent = parent[parent]
+        label = parent[label]
+
+
+def _connect(codes: np.ndarray, m: int) -> np.ndarray:
+    """Labels of the groups that M collisions connect. Members that are connected already aren't compared, so a list of copies
+    takes one pass; once several members in a row turn out to be alone, those left are compared all with all."""
+    label = np.arange(codes.shape[1])
+    rest, mine, theirs, alone = label.copy(), codes, _other(codes), 0
+    while len(rest) > 1 and alone < 8:
+        root, front, alone = rest[0], mine[:, :1], alone + 1
+        rest, mine, theirs = rest[1:], mine[:, 1:], theirs[:, 1:]
+        while front.shape[1] and len(rest):
+            near = np.zeros(len(rest), bool)
+            for s in range(0, len(rest), 16 * TILE):
+                for t in range(0, front.shape[1], TILE):
+                    near[s : s + 16 * TILE] |= (_count(front[:, t : t + TILE], theirs[:, s : s + 16 * TILE]) >= m).any(0)
+            if not near.any():
+                break
+            label[rest[near]], alone = root, 0
+            front = mine[:, near]
+            rest, mine, theirs = rest[~near], mine[:, ~near].copy(), theirs[:, ~near].copy()
+    for a, b, _ in _hits(mine, mine[:, :0], np.zeros(len(rest), bool), False, m) if len(rest) > 1 else ():
+        label = _union(label, rest[a], rest[b])
+    return label
+
+
+def _visit(kind: str, token: int, across: bool, part: pa.RecordBatch, k: int, m: int) -> list[np.ndarray]:
+    """What a list (in order by rep) adds. pairs: (doc_a, doc_b, matches). links: (node, rep, links, root), the documents that a class is linked to and the least representative that it is connected to. forest: the same with no links."""
+    live, codes, before = _codes(part.column("packed").to_pylist(), k, m, None if kind == "forest" else token)
+    node, rep, size, side = (part.column(c).to_numpy(zero_copy_only=False)[live] for c in ("node", "rep", "size", "side"))
+    if len(rep) < 2:
+        return [np.zeros(0, np.int64)] * (3 if kind == "pairs" else 4)
+    if kind == "forest":
+        return _result(kind, node, rep, size, [], _connect(codes, m))
+    return _result(kind, node, rep, size, _hits(codes, before, side, across, m), np.arange(len(rep)))
+
+
+def _small(kind: str, token: np.ndarray, first: np.ndarray, part: pa.RecordBatch, k: int, m: int) -> list[np.ndarray]:
+    """The same for some small lists at once, which begin at first (the count of members last)."""
+    raw = np.frombuffer(b"".join(part.column("packed").to_pylist()), np.uint8).reshape(-1, 5 * k)
+    values, ranks = raw[:, : 4 * k].copy().view(np.uint32), raw[:, 4 * k :]
+    node, rep, size, side, i, j = (part.column(c).to_numpy(zero_copy_only=False) for c in ("node", "rep", "size", "side", "i", "j"))
+    n = np.diff(first)
+    after = np.repeat(first[1:], n) - np.arange(first[-1]) - 1  # members behind each in its list
+    left = np.repeat(np.arange(first[-1]), after)
+    right = ragged(np.arange(first[-1]) + 1, after)
+
+    def hits() -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        for at in range(0, len(left), PAIRS):
+            a, b = left[at : at + PAIRS], right[at : at + PAIRS]
+            ok = (i[a] == j[a]) | (side[a] != side[b])
+            a, b = a[ok], b[ok]
+            same = (values[a] == values[b]) & (ranks[a] > 0) & (ranks[b] > 0)
+            found = same.sum(1)
+            ok = found >= m
+            a, b, same, found = a[ok], b[ok], same[ok], found[ok]
+            if len(a) and kind != "forest":
+                column = token[a] >> 32
+                order = _order(ranks[a], values[a].astype(np.int64) + (np.arange(k, dtype=np.int64) << 32))
+                ok = ~(same & (order < order[np.arange(len(a)), column][:, None])).any(1)
+                a, b, found = a[ok], b[ok], found[ok]
+            if len(a):
+                yield a, b, found
+
+    return _result(kind, node, rep, size, hits(), np.arange(len(rep)))
+
+
+def _result(kind: str, node: np.ndarray, rep: np.ndarray, size: np.ndarray, hits: Iterable[tuple[np.ndarray, np.ndarray, np.ndarray]], label: np.ndarray) -> list[np.ndarray]:
+    links, pairs = np.zeros(len(rep)), [[np.zeros(0, np.int64)] * 3]
+    for a, b, found in hits:
+        other = rep[a] != rep[b]
+        a, b, found = a[other], b[other], found[other]
+        if kind == "pairs":
+            pairs.append([rep[a], rep[b], found])
             continue
-        before = (same[a, b] & (order[i][a] < own)).any(-1)
-        a, b = a[~before], b[~before]
-        left.append(rep[at:][a]), right.append(rep[at:][b]), hits.append(n[a, b])
-    if not left:
-        return (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.int16),)
-    return tuple(map(np.concatenate, (left, right, hits)))
-
-
-def _connect(token: int, rep: np.ndarray, packed: list[bytes], k: int, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Edges from one member to the others of each group of a posting list that M collisions connect. Texts that are connected already aren't compared, so a list of copies takes one pass."""
-    raw = np.frombuffer(b"".join(packed), np.uint8).reshape(-1, 5 * k)
-    values, posted = raw[:, : 4 * k].copy().view(np.uint32), raw[:, 4 * k :] > 0
-    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    rest = np.arange(len(rep))
-    while len(rest) > 1:
-        first, rest = rest[0], rest[1:]
-        front = np.array([first])
-        while len(front) and len(rest):
-            step = max(1, CELLS // (k * len(front)))
-            near = []
-            for at in range(0, len(rest), step):
-                some = rest[at : at + step]
-                hit = np.zeros(len(some), bool)
-                for i in range(0, len(front), max(1, CELLS // (k * len(some)))):
-                    f = front[i : i + max(1, CELLS // (k * len(some)))]
-                    same = (values[f][:, None] == values[some][None]) & posted[f][:, None] & posted[some][None]
-                    hit |= (same.sum(-1, dtype=np.int16) >= m).any(0)
-                near.append(hit)
-            near = np.concatenate(near)
-            front, rest = rest[near], rest[~near]
-            left.append(np.full(len(front), rep[first]))
-            right.append(rep[front])
-    left, right = np.concatenate(left), np.concatenate(right)
-    return left, right, np.full(len(left), m, np.int16)
-
-
-def _merge(postings: DataFrame, k: int, m: int, forest: bool = False) -> DataFrame:
-    visit = _connect if forest else _collide
+        if kind == "links":
+            links += np.bincount(a, size[b], len(rep)) + np.bincount(b, size[a], len(rep))
+        label = _union(label, a, b)
+    if kind == "pairs":
+        return list(map(np.concatenate, zip(*pairs)))
+    some = (links > 0) | (rep[label] != rep)
+    return [node[some], rep[some], links[some].astype(np.int64), rep[label][some]]
+
+
+def _merge(postings: DataFrame, k: int, m: int, kind: str, small: int) -> DataFrame:
+    names = ["doc_a", "doc_b", "matches"] if kind == "pairs" else ["node", "rep", "links", "root"]
+    key = ("token", "i", "j")
+
+    def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+        """Batches of whole lists, and where each begins (the count of members last)."""
+        held: list[pa.RecordBatch] = []
+        last = None
+        for batch in batches:
+            keys = np.stack([batch.column(c).to_numpy() for c in key])
+            edge = np.flatnonzero(np.r_[True, (keys[:, 1:] != keys[:, :-1]).any(0)])
+            begin = edge[0] if not held or tuple(keys[:, 0]) != last else edge[1] if len(edge) > 1 else batch.num_rows
+            if held and begin < batch.num_rows:  # the list that was open ends here
+                part = joined([*held, batch.slice(0, begin)])
+                yield part, np.array([0, part.num_rows])
+                held = []
+            if begin == batch.num_rows:
+                held.append(batch)
+                continue
+            if edge[-1] > begin:
+                own = edge[(edge >= begin)]
+                yield batch.slice(begin, edge[-1] - begin), own - begin
+            held, last = [batch.slice(edge[-1])], tuple(keys[:, -1])
+        if held:
+            part = joined(held)
+            yield part, np.array([0, part.num_rows])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[tuple] = []
-        held = 0
+        for part, first in lists(batches):
+            size = np.diff(first)
+            token, i, j = (part.column(c).to_numpy() for c in key)
+            out = []
+            few = (size > 1) & (size <= small)
+            if few.any():
+                row = ragged(first[:-1][few], size[few])
+                out.append(_small(kind, token[row], np.r_[0, np.cumsum(size[few])], part.take(pa.array(row)), k, m))
+            for x in np.flatnonzero(size > small):
+                at = first[x]
+                out.append(_visit(kind, int(token[at]), bool(i[at] != j[at]), part.slice(at, size[x]), k, m))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in zip(*out)], names)
+
+    schema = ", ".join(f"{n} long" for n in names)
+    return arrow_map(postings.repartition(*key).sortWithinPartitions(*key, "rep"), merge, schema)
+
+
+def classes(docs: DataFrame, k: int = K, shingle: int = SHINGLE) -> tuple[DataFrame, DataFrame, bool]:
+    """Signatures (doc_id, sig), each of a document once; their classes (node, rep, size, key, sig), where rep is the smallest doc_id and key the digest of sig; and whether some document has several."""
+    sigs = materialise(signatures(docs, k, shingle), "signatures")
+    several = not sigs.groupBy("doc_id").count().where("count > 1").isEmpty()
+    if several:
+        sigs = materialise(sigs.distinct(), "signatures")
+    found = sigs.groupBy("sig").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("size"))
+    return sigs, materialise(found.select(F.monotonically_increasing_id().alias("node"), "rep", "size", F.unhex(F.md5("sig")).alias("key"), "sig"), "classes"), several
 
-        def flush() -> pa.RecordBatch:
-            nonlocal held
-            a, b, n = map(np.concatenate, zip(*out))
-            out.clear()
-            held = 0
-            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(n.astype(np.int32))], ["doc_a", "doc_b", "matches"])
 
-        now, reps, packs = None, [], []
-        for batch in batches:
-            token, rep, packed = batch.column("token").to_numpy(), batch.column("rep").to_numpy(), batch.column("packed")
-            edge = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
-            for s, e in zip(edge, np.r_[edge[1:], len(token)]):
-                if token[s] != now:
-                    if len(reps) and sum(map(len, reps)) > 1:
-                        out.append(visit(now, np.concatenate(reps), packs, k, m))
-                        held += len(out[-1][0])
-                        if held > 100_000:
-                            yield flush()
-                    now, reps, packs = int(token[s]), [], []
-                reps.append(rep[s:e])
-                packs += packed.slice(s, e - s).to_pylist()
-        if len(reps) and sum(map(len, reps)) > 1:
-            out.append(visit(now, np.concatenate(reps), packs, k, m))
-        if out:
-            yield flush()
-
-    return arrow_map(postings.repartition("token").sortWithinPartitions("token"), merge, "doc_a long, doc_b long, matches int")
-
-
-def near_pairs(docs: DataFrame, k: int = K, m: int = M, shingle: int = SHINGLE, forest: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Two tables (doc_a, doc_b, matches), doc_a < doc_b: the pairs of classes that collide in m to k coordinates, by their
-    smallest doc_id; and each further doc_id of a class of equal signatures with the smallest, matches = k. With forest, the
-    first table has only as many pairs as connect what the others do, and these need not collide themselves."""
-    sigs = materialise(signatures(docs, k, shingle), "signatures")
-    reps = sigs.groupBy("sig").agg(F.min("doc_id").alias("rep"))
-    tokens = _tokens(reps, k).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("token"))).where("n > 1")
-    tokens = tokens.select("rep", "token", F.least(F.lit(255), F.floor(F.log2("n") * 8)).cast("int").alias("q"))
-    candidates = tokens.groupBy("rep").agg(F.collect_list(F.struct("token", "q")).alias("tokens")).where(F.size("tokens") >= m)
-    pairs = _merge(_postings(candidates, k, m), k, m, forest).where("doc_a < doc_b")
-    copies = sigs.join(reps, "sig").where("doc_id > rep").select(F.col("rep").alias("doc_a"), F.col("doc_id").alias("doc_b"), F.lit(k).alias("matches")).distinct()
-    return pairs, copies
+def join(of: DataFrame, k: int = K, m: int = M, kind: str = "pairs", small: int = SMALL) -> DataFrame:
+    """The inverted join over classes: what _visit says for each list."""
+    tokens = _tokens(of, k)
+    # Counted by an aggregate, then joined: a token that many classes have is counted before it is shuffled, and its rows are split by the skew join.
+    common = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("token", F.least(F.lit(255), F.floor(F.log2("n") * 8)).cast("int").alias("q"))
+    lists = tokens.join(common, "token").groupBy("node").agg(F.collect_list(F.struct("token", "q")).alias("tokens")).where(F.size("tokens") >= m)
+    return _merge(_postings(lists.join(of.select("node", "rep", "size"), "node"), k, m, LIST), k, m, kind, small)
 
 
 def near_duplicates(docs: DataFrame, k: int = K, m: int = M, shingle: int = SHINGLE) -> DataFrame:
@@ -224,37 +362,44 @@ def near_duplicates(docs: DataFrame, k: int = K, m: int = M, shingle: int = SHIN
     Every pair of signature classes with at least m collisions is there, once, named by the smallest doc_id of each class;
     texts with equal signatures are there as pairs with their class's smallest doc_id. So two documents are near duplicates
     if their classes are one or are paired. Null ids, null texts and texts without a word take no part. Rows that repeat a
-    doc_id are one document, which isn't paired with itself. Further columns are ignored. No row is capped or left out.
+    doc_id are one document, which isn't paired with itself. Further columns are ignored. No row is capped or left out. An
+    empty table gives no rows.
     """
-    pairs, copies = near_pairs(docs, k, m, shingle)
-    return pairs.unionByName(copies).dropDuplicates(["doc_a", "doc_b"])
+    sigs, found, _ = classes(docs, k, shingle)
+    copies = sigs.select("doc_id", F.unhex(F.md5("sig")).alias("key")).join(found.select("key", "rep"), "key").where("doc_id > rep").select(F.col("rep").alias("doc_a"), F.col("doc_id").alias("doc_b"), F.lit(k).cast("long").alias("matches"))
+    return join(found, k, m).unionByName(copies).groupBy("doc_a", "doc_b").agg(F.max("matches").cast("int").alias("matches"))
 
 
-def all_pairs(docs: DataFrame, k: int = K, m: int = M, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_a, doc_b, matches): every pair of documents that collide in m to k coordinates, doc_a < doc_b, once.
+def links(docs: DataFrame, k: int = K, m: int = M, shingle: int = SHINGLE) -> DataFrame:
+    """(doc_id, class_id, n_links): one row for each document. class_id is the smallest doc_id of the connected group of near
+    duplicates that it is in (its own where it has none), n_links the number of documents that it collides with in at least m
+    of k coordinates, copies included.
 
-    The pairs of near_duplicates with each class replaced by all of its members, so n copies make n (n - 1) / 2 pairs. What
-    takes no part there takes none here. A doc_id that repeats with other texts is paired by the best of them.
+    Every link counts, also those within groups of thousands; none is written out as a pair. Null and empty texts and texts
+    without a word have no links and are classes of their own; rows with a null doc_id are left out, as they can't be named.
+    Rows that repeat a doc_id are one document: it is in one group with whatever any of its texts is linked to, and the links
+    of its different texts to other documents' classes are added up. Further columns are ignored. An empty table gives no rows.
     """
-    pairs, copies = near_pairs(docs, k, m, shingle)
-    pairs, copies = materialise(pairs, "pairs"), materialise(copies, "copies")
-    members = copies.select(F.col("doc_a").alias("rep"), F.col("doc_b").alias("id")).union(copies.select("doc_a", "doc_a")).distinct()
-    place = F.row_number().over(Window.partitionBy("rep").orderBy("id")) - 1
-    lists = members.withColumn("part", F.floor(place / MEMBERS)).groupBy("rep", "part").agg(F.collect_list("id").alias("ids"))
-    lists = materialise(lists, "members")
-    side = lambda c: lists.select(F.col("rep").alias(f"doc_{c}"), F.col("part").alias(f"part_{c}"), F.col("ids").alias(f"ids_{c}"))
-    held = lambda c: F.coalesce(f"ids_{c}", F.array(f"doc_{c}")).alias(f"ids_{c}")
-    across = pairs.join(side("a"), "doc_a", "left").join(side("b"), "doc_b", "left").select("matches", held("a"), held("b"))
-    inside = side("a").join(side("b"), F.expr("doc_a = doc_b AND part_a <= part_b")).select(F.lit(k).alias("matches"), "ids_a", "ids_b", (F.col("part_a") == F.col("part_b")).alias("own"))
-    both = across.withColumn("own", F.lit(False)).unionByName(inside)
-    large = "size(ids_a) * size(ids_b) > 1024"
-    both = both.where(f"NOT ({large})").unionByName(both.where(large).repartition(F.xxhash64("ids_a", "ids_b")))
-    each = both.select("matches", "own", "ids_b", F.explode("ids_a").alias("a")).select("matches", "own", "a", F.explode("ids_b").alias("b")).where("a <> b AND NOT (own AND a > b)")
-    out = each.select(F.least("a", "b").alias("doc_a"), F.greatest("a", "b").alias("doc_b"), "matches")
-    ids = docs.select(F.col("doc_id").cast("long").alias("id")).where("id IS NOT NULL AND text IS NOT NULL")
-    if ids.groupBy("id").count().where("count > 1").isEmpty():
-        return out
-    return out.groupBy("doc_a", "doc_b").agg(F.max("matches").alias("matches"))
+    sigs, found, several = classes(docs, k, shingle)
+    merged = materialise(join(found, k, m, "links"), "links")
+    root = components(_edges(merged, sigs, found, several))
+    degree = merged.groupBy("node").agg(F.sum("links").alias("links"))
+    about = found.select("node", "rep", "size", "key").join(degree, "node", "left").join(root.select(F.col("node").alias("rep"), "root"), "rep", "left")
+    about = about.select("key", F.coalesce("root", "rep").alias("root"), (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("links"))
+    mine = sigs.select("doc_id", F.unhex(F.md5("sig")).alias("key")).join(about, "key").select("doc_id", "root", "links")
+    if several:
+        mine = mine.groupBy("doc_id").agg(F.min("root").alias("root"), F.sum("links").alias("links"))
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id IS NOT NULL").distinct()
+    return ids.join(mine, "doc_id", "left").select("doc_id", F.coalesce("root", "doc_id").alias("class_id"), F.coalesce("links", F.lit(0).cast("long")).alias("n_links"))
+
+
+def _edges(merged: DataFrame, sigs: DataFrame, found: DataFrame, several: bool) -> DataFrame:
+    """Edges between representatives; where a document has several texts, also those between the classes of each."""
+    out = merged.select(F.col("rep").alias("doc_a"), F.col("root").alias("doc_b"))
+    if several:
+        reps = sigs.select("doc_id", F.unhex(F.md5("sig")).alias("key")).join(found.select("key", "rep"), "key")
+        out = out.union(reps.join(reps.groupBy("doc_id").agg(F.min("rep").alias("least")), "doc_id").select("rep", "least"))
+    return out
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -285,12 +430,13 @@ def deduplicate(docs: DataFrame, k: int = K, m: int = M, shingle: int = SHINGLE)
     """docs with one document of each connected group of near duplicates: the one with the smallest doc_id.
 
     All columns stay as they are. Rows without a doc_id or a word stay. Of rows that repeat a doc_id, the one with the
-    smallest text stays (null texts first).
+    smallest text stays (null texts first). An empty table gives no rows.
     """
-    pairs, copies = near_pairs(docs, k, m, shingle, forest=True)
-    pairs = materialise(pairs, "pairs")
-    copies = materialise(copies, "copies")
-    gone = materialise(components(pairs).select(F.col("node").alias("gone")).union(copies.select(F.col("doc_b").alias("gone"))).distinct(), "gone")
+    sigs, found, several = classes(docs, k, shingle)
+    root = components(_edges(join(found, k, m, "forest"), sigs, found, several)).select(F.col("node").alias("rep"), "root")
+    about = found.select("key", "rep").join(root, "rep", "left").select("key", F.coalesce("root", "rep").alias("root"))
+    mine = sigs.select("doc_id", F.unhex(F.md5("sig")).alias("key")).join(about, "key")
+    gone = materialise(mine.where("doc_id > root").select(F.col("doc_id").alias("gone")).distinct(), "gone")
 
     def size(ids: DataFrame) -> DataFrame:
         return F.broadcast(ids) if ids.count() * 8 <= BROADCAST_BYTES else ids

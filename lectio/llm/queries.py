@@ -47,7 +47,7 @@ def op8_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.all_pairs(_table(spark, sf_dir, "documents"))
+    return minhash.links(_table(spark, sf_dir, "documents"))
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
