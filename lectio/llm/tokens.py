@@ -9,25 +9,39 @@ from __future__ import annotations
 
 import base64
 import functools
-import importlib
 import sys
 import unicodedata
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
+from pyspark.sql import SparkSession
 
 from lectio.llm.blocks import hashes, view
 
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Pieces that a worker remembers; when there are more it starts anew.
 MEMORY = 1 << 19
+#: A vocabulary that is sent to the workers has so many bytes at most.
+MOST_BYTES = 64 << 20
 
 SIGN, LETTER, NUMBER, BLANK = 0, 1, 2, 3
 
 
 def vocabulary(name: str = "byte_bpe_multi_50k.tiktoken") -> str:
     """Where the public vocabulary of that name lies on this machine; any other path to a file of ranks does as well."""
-    return importlib.import_module("public_tokenizers").path(name)
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def shipped(spark: SparkSession, path: str | None = None) -> Broadcast:
+    """The bytes of a file of ranks, read on the driver and sent to all workers, which need no such file. At most MOST_BYTES."""
+    path = path or vocabulary()
+    if Path(path).stat().st_size > MOST_BYTES:
+        raise ValueError(f"{path} is larger than {MOST_BYTES} bytes")
+    return spark.sparkContext.broadcast(Path(path).read_bytes())
 
 
 @functools.cache
@@ -83,20 +97,21 @@ def pieces(data: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 class Encoder:
-    """Token ids of texts by a file of ranks."""
+    """Token ids of texts by a file of ranks, given as its path or its bytes. vocabulary is the first free id, kind the type that holds it."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, source: str | bytes) -> None:
         import tiktoken
 
-        with open(path, "rb") as lines:
-            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+        lines = (source if isinstance(source, bytes) else Path(source).read_bytes()).splitlines()
+        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, filter(None, lines))}
         self.plain = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.vocabulary = len(ranks)
+        self.vocabulary = max(ranks.values()) + 1
+        self.kind = np.uint16 if self.vocabulary < 1 << 16 else np.uint32
         self._forget()
 
     def _forget(self) -> None:
         self.known: dict[int, int] = {}
-        self.start, self.count, self.ids, self.used = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64), np.zeros(1 << 14, np.uint16), 0
+        self.start, self.count, self.ids, self.used = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64), np.zeros(1 << 14, self.kind), 0
 
     def _learn(self, new: list[int], raw: list[bytes]) -> None:
         ids = list(map(self.plain._encode_single_piece, raw))
@@ -143,5 +158,5 @@ class Encoder:
 
 
 @functools.lru_cache(2)
-def encoder(path: str) -> Encoder:
-    return Encoder(path)
+def encoder(source: str | bytes) -> Encoder:
+    return Encoder(source)
