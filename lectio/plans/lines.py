@@ -8,9 +8,12 @@ from lectio.plans.registry import query
 
 
 def _lines(d: Dialect) -> str:
-    """Lines with text, numbered from 0, with where each begins."""
-    rows = f"(SELECT doc_id, {d.split('text', chr(10))} AS a FROM {d.table('documents')} WHERE text IS NOT NULL) AS d_"
-    return f"SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY place) - 1 AS INT) AS line_no, place, line, length(line) AS n FROM (SELECT doc_id, place, line FROM {d.posexplode(rows, 'a', 'place', 'line')}) AS l_ WHERE trim(line) <> ''"
+    """Lines with text, numbered from 0, with the place each has among all lines; both are counted within the row of the document."""
+    if d.duck:
+        rows = f"(SELECT doc_id, {d.split('text', chr(10))} AS a FROM {d.table('documents')} WHERE text IS NOT NULL) AS d_"
+        return f"SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY place) - 1 AS INT) AS line_no, place, line, length(line) AS n FROM (SELECT doc_id, place, line FROM {d.posexplode(rows, 'a', 'place', 'line')}) AS l_ WHERE trim(line) <> ''"
+    kept = "filter(transform(split(text, '\n', -1), (line, place) -> struct(place, line)), x -> trim(x.line) <> '')"
+    return f"SELECT doc_id, line_no, x.place AS place, x.line AS line, length(x.line) AS n FROM {d.table('documents')} LATERAL VIEW posexplode({kept}) l_ AS line_no, x WHERE text IS NOT NULL"
 
 
 _W = "PARTITION BY doc_id ORDER BY line_no"
@@ -18,11 +21,13 @@ _W = "PARTITION BY doc_id ORDER BY line_no"
 
 def heading_sql(d: Dialect) -> str:
     """How likely a line is a heading: short, no full stop, capitals, and a longer line next."""
-    return estimate([("CASE WHEN n < 60 THEN 1e0 ELSE 0e0 END", 0.4, -0.8), (f"CASE WHEN {d.hit('line', '[.!?,;]$')} THEN 1e0 ELSE 0e0 END", -0.5, 0.3), (f"CASE WHEN {d.hit('line', '^[0-9A-Z]')} THEN 1e0 ELSE 0e0 END", 0.2, -0.4), ("least(n_next / 200e0, 1e0)", 0.3, -0.3)])
+    return estimate([("CASE WHEN n < 60 THEN 1e0 ELSE 0e0 END", 0.4, -0.8), ("stop", -0.5, 0.3), ("capital", 0.2, -0.4), ("least(n_next / 200e0, 1e0)", 0.3, -0.3)])
 
 
 def _labelled(d: Dialect) -> str:
-    return f"SELECT doc_id, line_no, line, n, {heading_sql(d)} AS p FROM (SELECT *, CAST(lead(n) OVER ({_W}) AS DOUBLE) AS n_next FROM ({_lines(d)}) AS a_) AS b_"
+    """What a line is like is told before lines are brought together, so only numbers are shuffled."""
+    seen = f"SELECT doc_id, line_no, n, CASE WHEN {d.hit('line', '[.!?,;]$')} THEN 1e0 ELSE 0e0 END AS stop, CASE WHEN {d.hit('line', '^[0-9A-Z]')} THEN 1e0 ELSE 0e0 END AS capital FROM ({_lines(d)}) AS a_"
+    return f"SELECT doc_id, line_no, n, {heading_sql(d)} AS p FROM (SELECT *, CAST(lead(n) OVER ({_W}) AS DOUBLE) AS n_next FROM ({seen}) AS s_) AS b_"
 
 
 @query
@@ -84,7 +89,7 @@ def line_recurring_headers(d: Dialect) -> str:
 def line_propagate_footnote(d: Dialect) -> str:
     """Lines from the first that looks like a footnote or licence on; a page is forty lines."""
     start = f"CASE WHEN {d.hit('line', '(?i)^([*†]|[0-9]+ |licen[sc]ed|this work|all rights)')} THEN 1 ELSE 0 END"
-    return f"SELECT doc_id, line_no FROM (SELECT doc_id, line_no, max({start}) OVER (PARTITION BY doc_id, CAST(floor(line_no / 40e0) AS INT) ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS note FROM ({_lines(d)}) AS l_) AS n_ WHERE note = 1"
+    return f"SELECT doc_id, line_no FROM (SELECT doc_id, line_no, max(start) OVER (PARTITION BY doc_id, CAST(floor(line_no / 40e0) AS INT) ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS note FROM (SELECT doc_id, line_no, {start} AS start FROM ({_lines(d)}) AS l_) AS s_) AS n_ WHERE note = 1"
 
 
 @query

@@ -31,6 +31,28 @@ def query(sql: Callable[[Dialect], str]) -> Callable[[Dialect], str]:
     return sql
 
 
+class Tables:
+    """The tables of a folder, by name."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str) -> None:
+        self.spark, self.sf_dir = spark, sf_dir
+
+    def __call__(self, name: str, *columns: str) -> DataFrame:
+        got = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return got.select(*columns) if columns else got
+
+
+def paired(oracle: str) -> Callable[[Callable[[Tables], DataFrame]], Callable[[Tables], DataFrame]]:
+    """Registers a plan over tables beside SQL for DuckDB that is written by hand and by another way: from what the plan's input was made of, where that can be."""
+
+    def register(plan: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
+        QUERIES[plan.__name__] = lambda spark, sf_dir: plan(Tables(spark, sf_dir))
+        ORACLE_SQL[plan.__name__] = oracle
+        return plan
+
+    return register
+
+
 def rows_only(plan: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     """Registers a query that SQL can't express."""
     QUERIES[plan.__name__] = plan

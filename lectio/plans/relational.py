@@ -18,9 +18,9 @@ def _sources(d: Dialect) -> str:
 FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS place FROM {d.table('events')}) AS e_ WHERE place = 1"""
 
 
-def _due(d: Dialect, condition: str, order: str) -> str:
-    return f"""SELECT source_id, status, last_checked, CAST(row_number() OVER (ORDER BY {order}) AS INT) AS place
-FROM ({_sources(d)}) AS s_ WHERE sourcetype <> 'blog' AND {condition}"""
+def _due(d: Dialect, condition: str) -> str:
+    """Sources that are due. Their order isn't numbered, as that would put all of them through one task; due_priority lists the first."""
+    return f"SELECT source_id, status, last_checked FROM ({_sources(d)}) AS s_ WHERE sourcetype <> 'blog' AND {condition}"
 
 
 def _older(d: Dialect, hours: int) -> str:
@@ -29,25 +29,30 @@ def _older(d: Dialect, hours: int) -> str:
 
 @query
 def due_new(d: Dialect) -> str:
-    return _due(d, "(status = 0 OR last_checked IS NULL)", "source_id")
+    return _due(d, "(status = 0 OR last_checked IS NULL)")
 
 
 @query
 def due_ok(d: Dialect) -> str:
-    return _due(d, f"status = 1 AND {_older(d, OK_HOURS)}", "last_checked, source_id")
+    return _due(d, f"status = 1 AND {_older(d, OK_HOURS)}")
 
 
 @query
 def due_broken(d: Dialect) -> str:
-    return _due(d, f"status > 1 AND {_older(d, BROKEN_HOURS)}", "last_checked, source_id")
+    return _due(d, f"status > 1 AND {_older(d, BROKEN_HOURS)}")
+
+
+#: Sources that are listed to be visited next; the limit is the feature.
+NEXT = 200
 
 
 @query
 def due_priority(d: Dialect) -> str:
-    """The order in which sources are visited: new ones, then healthy ones that are due, then broken ones."""
+    """The sources to visit next: new ones, then healthy ones that are due, then broken ones."""
     tier = f"CASE WHEN status = 0 OR last_checked IS NULL THEN 1 WHEN status = 1 AND {_older(d, OK_HOURS)} THEN 2 WHEN status > 1 AND {_older(d, BROKEN_HOURS)} THEN 3 END"
-    return f"""SELECT source_id, tier, CAST(row_number() OVER (ORDER BY tier, CASE WHEN tier = 1 THEN 0 ELSE last_checked END, source_id) AS INT) AS place
-FROM (SELECT *, {tier} AS tier FROM ({_sources(d)}) AS s_ WHERE sourcetype <> 'blog') AS t_ WHERE tier IS NOT NULL"""
+    order = "tier, CASE WHEN tier = 1 THEN 0 ELSE last_checked END, source_id"
+    return f"""SELECT source_id, tier, CAST(row_number() OVER (ORDER BY {order}) AS INT) AS place
+FROM (SELECT * FROM (SELECT *, {tier} AS tier FROM ({_sources(d)}) AS s_ WHERE sourcetype <> 'blog') AS t_ WHERE tier IS NOT NULL ORDER BY {order} LIMIT {NEXT}) AS n_"""
 
 
 @query

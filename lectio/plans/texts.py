@@ -6,10 +6,9 @@ from lectio.functions.dialect import Dialect
 from lectio.functions.score import binary, count_ratio, posterior
 from lectio.plans.registry import query
 
-COURSE = "(?i)course|exam|homework|handout|grading|lecture|seminar|hours/"
-PAPER = "(?i)in section|finally,"
-INTERVIEW = "(?i)interview|do you|did you"
-VERBS = r"(^|[^\p{L}])(is|est|ist|es)([^\p{L}]|$)"
+COURSE = "course|exam|homework|handout|grading|lecture|seminar|hours/"
+PAPER = "in section|finally,"
+INTERVIEW = "interview|do you|did you"
 #: Words of a page, where a document has none of its own.
 PAGE_WORDS = 300
 
@@ -22,12 +21,22 @@ def line_lengths(d: Dialect, text: str = "text") -> str:
     return d.map(d.filter(d.split(text, chr(10)), "x", "trim(x) <> ''"), "x", "length(x)")
 
 
-def _rate(d: Dialect, pattern: str) -> str:
-    return f"CAST(floor({d.count('text', pattern)} * 10000e0 / greatest(words, 1)) AS DOUBLE)"
+def _rate(d: Dialect, terms: str) -> str:
+    """Occurrences of some terms, which don't overlap, for each 10 000 words: by what is lost when they are replaced, which takes no pattern."""
+    total = " + ".join(f"(length(low) - length(replace(low, '{t}', ''))) / {len(t)}" for t in terms.split("|"))
+    if d.duck:
+        total = d.count("low", terms)
+    return f"CAST(floor(({total}) * 10000e0 / greatest(words, 1)) AS DOUBLE)"
+
+
+def _verb_rate(d: Dialect) -> str:
+    """The same for words of their own."""
+    hits = d.size(d.filter(d.split("text", r"[^\p{L}]+"), "v", "v IN ('is', 'est', 'ist', 'es')"))
+    return f"CAST(floor({hits} * 10000e0 / greatest(words, 1)) AS DOUBLE)"
 
 
 def _counted(d: Dialect) -> str:
-    return f"SELECT *, {n_words(d)} AS words FROM {d.table('documents')} WHERE text IS NOT NULL"
+    return f"SELECT *, {n_words(d)} AS words, lower(text) AS low FROM {d.table('documents')} WHERE text IS NOT NULL"
 
 
 @query
@@ -58,7 +67,7 @@ def doc_mode_linelen(d: Dialect) -> str:
 @query
 def doc_keyword_rates(d: Dialect) -> str:
     """Occurrences for each 10 000 words."""
-    return f"SELECT doc_id, {_rate(d, COURSE)} AS course, {_rate(d, PAPER)} AS paper, {_rate(d, INTERVIEW)} AS interview, {_rate(d, VERBS)} AS verbs FROM ({_counted(d)}) AS c_"
+    return f"SELECT doc_id, {_rate(d, COURSE)} AS course, {_rate(d, PAPER)} AS paper, {_rate(d, INTERVIEW)} AS interview, {_verb_rate(d)} AS verbs FROM ({_counted(d)}) AS c_"
 
 
 @query
@@ -109,8 +118,8 @@ def doc_title_truncate(d: Dialect) -> str:
 
 
 def _features(d: Dialect) -> str:
-    return f"""SELECT doc_id, lang, source, n_chars, CAST(words AS DOUBLE) AS words, substr(text, 1, 5000) AS head, {_rate(d, COURSE)} AS course, {_rate(d, PAPER)} AS paper, {_rate(d, INTERVIEW)} AS interview, {_rate(d, VERBS)} AS verbs,
-{d.hit('text', '(?i)bibliography|references|literatur|bibliographie')} AS bib, CAST(floor({d.median(line_lengths(d))}) AS DOUBLE) AS line_len, CASE WHEN n_chars >= 4000 THEN floor(words * 2000e0 / n_chars) END AS per_page FROM ({_counted(d)}) AS c_"""
+    return f"""SELECT doc_id, lang, source, n_chars, CAST(words AS DOUBLE) AS words, substr(text, 1, 5000) AS head, {_rate(d, COURSE)} AS course, {_rate(d, PAPER)} AS paper, {_rate(d, INTERVIEW)} AS interview, {_verb_rate(d)} AS verbs,
+({' OR '.join(f"contains(low, '{t}')" for t in ('bibliograph', 'references', 'literatur'))}) AS bib, CAST(floor({d.median(line_lengths(d))}) AS DOUBLE) AS line_len, CASE WHEN n_chars >= 4000 THEN floor(words * 2000e0 / n_chars) END AS per_page FROM ({_counted(d)}) AS c_"""
 
 
 def _paper(d: Dialect) -> str:
@@ -170,10 +179,22 @@ def _common(d: Dialect, a: str, b: str) -> str:
 
 @query
 def dup_blocked(d: Dialect) -> str:
-    """Near copies within blocks (the same first long words and source): lengths within a fifth, and a similarity of words of 0.8."""
-    block = f"concat(source, ':', {d.extract('lower(text)', '([\\p{L}]{4,}[^\\p{L}]+[\\p{L}]+[^\\p{L}]+[\\p{L}]+)')})"
-    rows = f"SELECT doc_id, {block} AS block, n_chars, {_shingles(d, 'text')} AS w FROM {d.table('documents')} WHERE text IS NOT NULL"
-    return f"""WITH b AS ({rows}), p AS (SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, {d.size('a.w')} AS na, {d.size('b.w')} AS nb, {_common(d, 'a.w', 'b.w')} AS c FROM b a JOIN b b ON a.block = b.block AND a.doc_id < b.doc_id AND abs(a.n_chars - b.n_chars) <= 0.2 * a.n_chars)
+    """Near copies within blocks: the same source and first long words, lengths within a fifth, and a similarity of words of 0.8.
+
+    Of texts so alike each has nearly all words of the other, so the block is keyed by length too: a text is posted in its own
+    band of lengths and in the next one, and openings that many texts share part into the lengths that they have."""
+    opening = d.extract('lower(text)', '([\\p{L}]{4,}[^\\p{L}]+[\\p{L}]+[^\\p{L}]+[\\p{L}]+)')
+    rows = f"SELECT doc_id, source, {opening} AS opening, n_chars, {_shingles(d, 'text')} AS w FROM {d.table('documents')} WHERE text IS NOT NULL"
+    if d.duck:
+        pairs = "SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, a.w AS wa, b.w AS wb FROM b a JOIN b b ON a.source = b.source AND a.opening = b.opening AND a.doc_id < b.doc_id AND abs(a.n_chars - b.n_chars) <= 0.2e0 * a.n_chars"
+    else:
+        # Lengths whose ratio is at most 1.25 lie in one band or in neighbours; a pair is met in the band of its shorter text.
+        band = "CAST(floor(ln(greatest(n_chars, 1)) / ln(1.25e0)) AS INT)"
+        mine = f"SELECT *, {band} AS band FROM b"
+        pairs = f"""SELECT least(a.doc_id, b.doc_id) AS doc_a, greatest(a.doc_id, b.doc_id) AS doc_b, CASE WHEN a.doc_id < b.doc_id THEN a.w ELSE b.w END AS wa, CASE WHEN a.doc_id < b.doc_id THEN b.w ELSE a.w END AS wb
+FROM ({mine}) a JOIN (SELECT *, explode(array(band, band - 1, band - 2)) AS near FROM ({mine}) AS m_) b ON a.source = b.source AND a.opening = b.opening AND a.band = b.near
+AND (a.band < b.band OR a.doc_id < b.doc_id) AND abs(a.n_chars - b.n_chars) <= 0.2e0 * CASE WHEN a.doc_id < b.doc_id THEN a.n_chars ELSE b.n_chars END"""
+    return f"""WITH b AS ({rows}), p AS (SELECT doc_a, doc_b, {d.size('wa')} AS na, {d.size('wb')} AS nb, {_common(d, 'wa', 'wb')} AS c FROM ({pairs}) AS x_)
 SELECT doc_a, doc_b, round(c / (na + nb - c), 6) AS similarity FROM p WHERE na + nb > 0 AND c / (na + nb - c) >= 0.8"""
 
 
@@ -188,21 +209,20 @@ FROM (SELECT *, lag(doc_id) OVER (PARTITION BY source, title ORDER BY doc_id) AS
 
 @query
 def known_item_contains(d: Dialect) -> str:
-    """Documents that hold a known text, by folded words, which is plain containment: a text of eight words and more is joined on its
-    second to seventh, which are whole words wherever it is held, and then compared whole; shorter ones are compared with every
-    document. Texts without a word aren't known ones. The SQL for DuckDB, which joins on the first six words, is as it was."""
+    """Documents that hold a known text, by folded words, which is plain containment: a text of eight words and more is joined on a
+    hash of its second to seventh, which are whole words wherever it is held, and then compared whole; shorter ones are compared
+    with every document. Texts without a word aren't known ones. The SQL for DuckDB compares all with all."""
     fold = lambda c: d.replace(d.fold(c), r"[^\p{L}\p{N}]+", " ")
+    if d.duck:
+        return f"""SELECT DISTINCT t.doc_id, k.item_id FROM (SELECT doc_id, {fold('text')} AS f FROM documents WHERE text IS NOT NULL) t
+JOIN (SELECT item_id, trim({fold('text')}) AS t FROM benchmark WHERE text IS NOT NULL) k ON k.t <> '' AND contains(t.f, k.t)"""
     words = lambda c: d.split(f"trim({fold(c)})", " ")
-    grams = d.distinct(f"list_transform(range(1, greatest(len(w) - 4, 1)), lambda i: array_to_string(w[i:i+5], ' '))" if d.duck else "transform(sequence(1, greatest(size(w) - 5, 1)), i -> array_join(slice(w, i, 6), ' '))")
+    gram = "xxhash64(" + ", ".join(f"get(w, i + {k})" for k in range(6)) + ")"
     docs = d.once(f"(SELECT doc_id, text FROM {d.table('documents')} WHERE text IS NOT NULL) AS d_", words("text"), "w")
-    posted = f"(SELECT doc_id, {grams} AS g FROM {docs}) AS g_"
+    posted = f"(SELECT doc_id, CASE WHEN size(w) >= 6 THEN transform(sequence(0, size(w) - 6), i -> {gram}) END AS g FROM {docs}) AS g_"
     known = f"SELECT item_id, trim({fold('text')}) AS t, {words('text')} AS w FROM {d.table('benchmark')} WHERE text IS NOT NULL"
-    if d.duck:
-        return f"""WITH k AS (SELECT item_id, t, array_to_string(w[1:6], ' ') AS g1 FROM ({known}) AS b_),
-c AS (SELECT DISTINCT p.doc_id, k.item_id FROM (SELECT doc_id, gram FROM {d.explode(posted, 'g', 'gram')}) p JOIN k ON k.g1 = p.gram)
-SELECT DISTINCT c.doc_id, c.item_id FROM c JOIN k ON k.item_id = c.item_id JOIN {d.table('documents')} t ON t.doc_id = c.doc_id WHERE contains({fold('t.text')}, k.t)"""
     folded = d.once(f"(SELECT doc_id, text FROM {d.table('documents')} WHERE text IS NOT NULL) AS t_", fold("text"), "f")
-    return f"""WITH k AS (SELECT item_id, t, size(w) AS n, array_join(slice(w, 2, 6), ' ') AS g1 FROM ({known}) AS b_ WHERE t <> ''),
+    return f"""WITH k AS (SELECT item_id, t, size(w) AS n, {gram.replace('i + ', '1 + ')} AS g1 FROM (SELECT * FROM ({known}) AS a_ WHERE t <> '') AS b_),
 c AS (SELECT DISTINCT p.doc_id, k.item_id FROM (SELECT doc_id, gram FROM {d.explode(posted, 'g', 'gram')}) p JOIN k ON k.n >= 8 AND k.g1 = p.gram)
 SELECT DISTINCT c.doc_id, c.item_id FROM c JOIN k ON k.n >= 8 AND k.item_id <=> c.item_id JOIN {d.table('documents')} t ON t.doc_id <=> c.doc_id WHERE contains({fold('t.text')}, k.t)
 UNION SELECT f.doc_id, k.item_id FROM (SELECT doc_id, f FROM {folded}) f JOIN (SELECT item_id, t FROM k WHERE n < 8) k ON contains(f.f, k.t)"""
@@ -210,25 +230,12 @@ UNION SELECT f.doc_id, k.item_id FROM (SELECT doc_id, f FROM {folded}) f JOIN (S
 
 @query
 def fuzzy_levenshtein(d: Dialect) -> str:
-    """Names of parts in different brands that differ by up to a fifth of their letters, of the same type and size."""
+    """Names of parts of the same type that differ by up to a fifth of their letters."""
     far = "levenshtein(a.name, b.name)"
     return f"""SELECT a.name AS name_a, b.name AS name_b, CAST({far} AS INT) AS distance FROM (SELECT DISTINCT p_name AS name, p_type FROM {d.table('part')}) a JOIN (SELECT DISTINCT p_name AS name, p_type FROM {d.table('part')}) b
 ON a.p_type = b.p_type AND a.name < b.name WHERE {far} <= ceil(0.2 * length(a.name)) GROUP BY a.name, b.name, {far}"""
 
 
-_NAMES = ["John Smith", "Smith, John", "J. Smith", "Jane Smith", "John M. Smith", "Smith", "Anna Müller", "A. Muller", "Bob Jones", "Jones, B."]
-
-
-@query
-def person_name_match(d: Dialect) -> str:
-    """Pairs of names that may be one person: the same surname, and the same first name or a matching initial."""
-    rows = " UNION ALL ".join(f"SELECT {i} AS id, '{n}' AS name" for i, n in enumerate(_NAMES))
-    family = f"{d.fold('''CASE WHEN name LIKE '%,%' THEN ''' + d.extract('name', '^([^,]*)') + ' ELSE ' + d.extract('name', '([^ ]+)$') + ' END')}"
-    given = f"{d.fold('''CASE WHEN name LIKE '%,%' THEN ''' + d.extract('name', ', *([^ .]*)') + ''' WHEN name LIKE '% %' THEN ''' + d.extract('name', '^([^ .]+)') + " ELSE '' END")}"
-    return f"""WITH n AS (SELECT id, name, {family} AS family, {given} AS given FROM ({rows}) AS r_)
-SELECT a.name AS name_a, b.name AS name_b, a.family = b.family AND a.given <> '' AND b.given <> '' AND (a.given = b.given OR (least(length(a.given), length(b.given)) = 1 AND substr(a.given, 1, 1) = substr(b.given, 1, 1))) AS same FROM n a JOIN n b ON a.id < b.id"""
-
-
 @query
 def tfidf_terms(d: Dialect) -> str:
     """For each language and term in at least two documents: document frequency and smoothed inverse frequency."""

@@ -8,7 +8,7 @@ from lectio.plans.registry import query
 
 MEDIA = "jpg|jpeg|png|gif|mp3|mp4|avi|mov|zip|css|js"
 BLOCKED = "facebook.|twitter.|linkedin.|youtube."
-BLACKLIST = "wikipedia.org|amazon.|google.|books.|jstor.|/calendar|/search|/archive|/tag/|/login|/cart|ref="
+BLACKLIST = "wikipedia.org|amazon.|google.|books.|jstor.|/calendar|/search|/archive|/tag/|/login|/cart|ref=|facebook.|twitter.|linkedin.|youtube.|instagram.|reddit.|quora.|goodreads.|barnesandnoble.|abebooks.|springer.|wiley.|tandfonline.|sagepub.|elsevier.|sciencedirect.|oup.com|cambridge.org|degruyter.|muse.jhu|projecteuclid.|bepress.|scribd.|slideshare.|docstoc.|issuu.|coursera.|edx.org|ratemyprofessors.|news.|/news/|/press/|/events/|/course|/courses/|/syllabus|/teaching/|/jobs|/careers|/donate|/shop|/store/|/forum|/wiki/|/feed|/rss|/category/|/print/|/gallery|/photos|/video"
 
 
 def url_key_sql(d: Dialect, url: str) -> str:
@@ -70,13 +70,6 @@ def url_absolute(d: Dialect) -> str:
     return f"SELECT page_id, href, link FROM ({_links(d)}) AS l_"
 
 
-@query
-def url_session_vars(d: Dialect) -> str:
-    """Names of address parameters that occur more than twice among all pages, which are session variables."""
-    rows = f"(SELECT page_id, {d.extract_all('url', '[?&;]([a-zA-Z_]+)=')} AS params FROM {d.table('pages')})"
-    return f"SELECT param, count(*) AS n FROM {d.explode(rows + ' AS p_', 'params', 'param')} GROUP BY param HAVING count(*) > 2"
-
-
 @query
 def url_strip_session(d: Dialect) -> str:
     return f"SELECT page_id, {d.replace('url', '(?i)(ref|sid|session|phpsessid)=[^&;#]*', '')} AS url FROM {d.table('pages')}"
@@ -92,15 +85,12 @@ AND NOT {d.hit(f'lower({path})', f'[.]({MEDIA})$')} AND NOT {d.hit("lower(link)"
 
 @query
 def page_links_new_vs_known(d: Dialect) -> str:
-    """Links of odd pages against those of even ones of the same language, as known links: by address, then by key, then without session variables; the first tier that matches counts."""
+    """Links of every page against those of earlier pages of the same language, as known links: by address, then by key, then without session variables; the first tier that matches counts."""
     sess = lambda c: d.replace(url_key_sql(d, c), "[?&;](ref|sid|page)=[^&;#]*", "")
     links = f"SELECT page_id, link, {d.extract('url', '/([a-z][a-z])/')} AS area, {d.extract('link', '(/[^/]*)$')} AS tail FROM ({_links(d)}) AS l_"
-    known = f"SELECT DISTINCT area, tail, {url_key_sql(d, 'tail')} AS k, {sess('tail')} AS s FROM (SELECT * FROM ({links}) AS k_ WHERE page_id % 2 = 0) AS e_"
-    return f"""WITH known AS ({known}), mine AS (SELECT * FROM ({links}) AS m_ WHERE page_id % 2 = 1)
-SELECT m.page_id, m.link, CASE WHEN a.tail IS NOT NULL THEN 1 WHEN b.k IS NOT NULL THEN 2 WHEN c.s IS NOT NULL THEN 3 ELSE 0 END AS tier FROM mine m
-LEFT JOIN (SELECT DISTINCT area, tail FROM known) a ON a.area = m.area AND a.tail = m.tail
-LEFT JOIN (SELECT DISTINCT area, k FROM known) b ON b.area = m.area AND b.k = {url_key_sql(d, 'm.tail')}
-LEFT JOIN (SELECT DISTINCT area, s FROM known) c ON c.area = m.area AND c.s = {sess('m.tail')}"""
+    tiers = f"SELECT page_id, link, area, tail, {url_key_sql(d, 'tail')} AS k, {sess('tail')} AS s FROM ({links}) AS t_"
+    first = lambda c: f"min(page_id) OVER (PARTITION BY area, {c}) < page_id"
+    return f"SELECT page_id, link, CASE WHEN {first('tail')} THEN 1 WHEN {first('k')} THEN 2 WHEN {first('s')} THEN 3 ELSE 0 END AS tier FROM ({tiers}) AS k_"
 
 
 @query
@@ -124,27 +114,6 @@ max(CASE WHEN {d.hit('text', '(?i)^(posted by|reply|[0-9]+ comments?)')} THEN 1
 FROM (SELECT page_id, place, {text} AS text FROM {d.posexplode(rows, 'parts', 'place', 'part')}) AS t_) AS w_ WHERE begun > 0 AND ended = 0"""
 
 
-@query
-def page_redirect(d: Dialect) -> str:
-    """Where a page leads by a refresh in its head, or its own address."""
-    to = d.extract("html", "(?i)<meta[^>]*http-equiv=.?refresh[^>]*url=([^>\" ]+)")
-    return f"SELECT page_id, CASE WHEN {to} <> '' THEN {absolute_sql(d, 'url', to)} ELSE url END AS target FROM {d.table('pages')}"
-
-
-@query
-def page_steppingstone(d: Dialect) -> str:
-    """The one document that a page leads to: a single PDF link, or none."""
-    pdf = d.distinct(d.extract_all("html", "(?i)href=.([^> ]+[.]pdf)"))
-    return f"SELECT page_id, {d.size(pdf)} AS n_pdfs, CASE WHEN {d.size(pdf)} = 1 THEN {d.at(pdf, 1)} END AS target FROM {d.table('pages')}"
-
-
-@query
-def filetype(d: Dialect) -> str:
-    """Type of a document by what it begins with, else by the ending of its address."""
-    ending = f"lower({d.extract('url', '[.]([a-zA-Z]{2,4})(?:[?#]|$)')})"
-    return f"""SELECT page_id, CASE WHEN html LIKE '%PDF-%' AND html LIKE '\\%PDF-%' THEN 'pdf' WHEN {d.hit('substr(html, 1, 200)', '(?i)<(!doctype )?html')} THEN 'html' WHEN {ending} IN ('htm', 'html') THEN 'html' WHEN {ending} = 'docx' THEN 'doc' WHEN {ending} <> '' THEN {ending} ELSE 'unknown' END AS filetype FROM {d.table('pages')}""".replace("html LIKE '%PDF-%' AND html LIKE '\\%PDF-%'", "substr(html, 1, 5) = '%PDF-'")
-
-
 def _page(d: Dialect) -> str:
     return f"SELECT page_id, url, lower(html) AS html, {strip_tags_sql(d, 'html')} AS text, {d.size(d.extract_all('html', '(?i)href=.[^> ]+[.](pdf|docx?)'))} AS docs FROM {d.table('pages')}"
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from pathlib import Path
@@ -37,17 +38,38 @@ def importable(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir). Only a session that has none, as in tests, gets a folder of its own."""
+    """The folder all executors share (spark.checkpoint.dir). A session on one machine that has none, as in tests, gets a folder of its own; on a cluster that would be one for each machine, so it is an error there."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="lectio-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+#: Folders that materialise wrote, and that sweep hasn't deleted yet.
+_WRITTEN: list[str] = []
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder as Parquet and read again: it is computed once, and outlives the executors that made it."""
+    """df written to the shared folder as Parquet and read again: it is computed once, and outlives the executors that made it. sweep deletes it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes a folder wherever it lies."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def sweep(spark: SparkSession) -> None:
+    """Deletes what materialise wrote since the last sweep. Call it once the results that read it are written or no longer needed."""
+    while _WRITTEN:
+        delete(spark, _WRITTEN.pop())

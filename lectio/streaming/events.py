@@ -1,7 +1,7 @@
 """Event streams: deduplication, the latest state of each source, and counts by window.
 
 Each stream is read from files as they arrive; availableNow drains what is there and ends. State and offsets are checkpointed
-in the shared folder, and sinks are overwritten or appended by batch, so a restarted query goes on where it was.
+in a folder that the caller names, so a query that is started again goes on where it was; without a name it is a run of its own.
 """
 
 from __future__ import annotations
@@ -38,10 +38,10 @@ def windows(events: DataFrame, size: str = "1 hour", late: str = "10 minutes") -
     return out.select(F.unix_micros("window.start").alias("begins"), "event_type", "n", "mean_value")
 
 
-def drain(stream: DataFrame, mode: str) -> DataFrame:
-    """What a stream yields until its sources are at their end: appended rows, or the complete result of the last batch."""
+def drain(stream: DataFrame, mode: str, base: str | None = None) -> DataFrame:
+    """What a stream yields until its sources are at their end: appended rows, or the complete result of the last batch. State, offsets and rows lie in `base`: a later call with the same folder reads on from the last one's end."""
     spark = stream.sparkSession
-    base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    base = base or f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     writer = stream.writeStream.option("checkpointLocation", f"{base}/state").trigger(availableNow=True).outputMode(mode)
     if mode == "append":
         query = writer.format("parquet").start(f"{base}/rows")
