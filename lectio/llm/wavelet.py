@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectio.llm.blocks import SLICE_BYTES, arrow_map, slices
-from lectio.llm.tokens import encoder, vocabulary
+from lectio.llm.tokens import encoder, shipped
 
 MAGIC, BLOCK = b"WVM1", 1 << 15
 HEAD = struct.Struct("<4sHHIIQ")
@@ -134,6 +134,19 @@ class Wavelet:
             at = self._place(p, bit, at - int(self.zeros[p]) if bit else at)
         return at
 
+    def _gather(self, plane: int, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bits of a plane at some places, and the ones before each; each block that is touched is unpacked once."""
+        bit, before = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+        block = at // self.block
+        for b in np.unique(block).tolist():
+            some = np.flatnonzero(block == b)
+            bits = self.bits(plane, b)
+            rest = at[some] - b * self.block
+            total = np.cumsum(bits, dtype=np.int64)
+            bit[some] = bits[rest]
+            before[some] = self.ones[plane, b] + total[rest] - bit[some]
+        return bit, before
+
     def occurrences(self, token: int) -> np.ndarray:
         """All places of the token, in order."""
         low, high = self._interval(token, 0, self.n)
@@ -142,9 +155,23 @@ class Wavelet:
             if not len(at):
                 break
             bit = token >> (self.planes - 1 - p) & 1
-            whole = np.concatenate([self.bits(p, b) for b in range(self.ones.shape[1] - 1)])
-            at = np.flatnonzero(whole == bit)[at - int(self.zeros[p]) * bit]
-        return at
+            k = at - int(self.zeros[p]) * bit
+            edge = self.ones[p] if bit else np.minimum(np.arange(self.ones.shape[1]) * self.block, self.n) - self.ones[p]
+            block = np.searchsorted(edge, k, "right") - 1
+            at = np.empty(len(k), np.int64)
+            for b in np.unique(block).tolist():
+                some = np.flatnonzero(block == b)
+                at[some] = b * self.block + np.flatnonzero(self.bits(p, b) == bit)[k[some] - edge[b]]
+        return np.sort(at)
+
+    def read(self, low: int, high: int) -> np.ndarray:
+        """The tokens from one place to another, one rank a plane for all of them at once."""
+        at, out = np.arange(low, high), np.zeros(high - low, np.int64)
+        for p in range(self.planes):
+            bit, before = self._gather(p, at)
+            at = np.where(bit == 1, int(self.zeros[p]) + before, at - before)
+            out = out << 1 | bit
+        return out
 
     def tokens(self) -> np.ndarray:
         """All tokens, by undoing the planes from the last."""
@@ -156,7 +183,7 @@ class Wavelet:
         return out
 
     def document(self, i: int) -> np.ndarray:
-        return np.array([self.access(at) for at in range(int(self.first[i]), int(self.first[i + 1]))], np.int64)
+        return self.read(int(self.first[i]), int(self.first[i + 1]))
 
 
 def shard_files(docs: DataFrame, vocab: str | None = None, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
@@ -167,12 +194,12 @@ def shard_files(docs: DataFrame, vocab: str | None = None, shard_tokens: int = S
     stay in the task that reads them, so shards follow the partitions of docs (shard is partition and number); a text is
     never cut, however long. Further columns are ignored. An empty table gives no rows.
     """
-    path = vocab or vocabulary()
+    ranks = shipped(docs.sparkSession, vocab)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        coder, context = encoder(path), TaskContext.get()
+        coder, context = encoder(ranks.value), TaskContext.get()
         held: list[tuple] = []
         size = number = 0
 
@@ -188,7 +215,7 @@ def shard_files(docs: DataFrame, vocab: str | None = None, shard_tokens: int = S
             for part in slices(batch, most=min(SLICE_BYTES, 4 * shard_tokens)):
                 ids, first = coder.encode(part.column("text"))
                 count = np.diff(first)
-                out = np.full(len(ids) + len(count), coder.vocabulary, np.uint16)
+                out = np.full(len(ids) + len(count), coder.vocabulary, coder.kind)
                 out[np.arange(len(ids)) + np.repeat(np.arange(len(count)), count)] = ids
                 held.append((out, count + 1, part.column("doc_id")))
                 size += len(out)
