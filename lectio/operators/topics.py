@@ -22,6 +22,28 @@ def fit(docs: DataFrame, labels: DataFrame, terms: int = 1 << 17) -> PipelineMod
     return Pipeline(stages=stages).fit(train)
 
 
+class Store:
+    """Models by category, each in a folder of its own; what was never stored, or stored as none, isn't trained."""
+
+    def __init__(self, folder: str) -> None:
+        self.folder, self.loaded = folder, {}
+
+    def save(self, category: str, model: PipelineModel | None) -> None:
+        self.loaded[category] = model
+        if model is not None:
+            model.write().overwrite().save(f"{self.folder}/{category}")
+
+    def load(self, category: str) -> PipelineModel | None:
+        if category not in self.loaded:
+            try:
+                self.loaded[category] = PipelineModel.load(f"{self.folder}/{category}")
+            except Exception as missing:  # a folder that isn't there is told apart from one that can't be read
+                if "does not exist" not in str(missing):
+                    raise
+                self.loaded[category] = None
+        return self.loaded[category]
+
+
 def predict(docs: DataFrame, model: PipelineModel | None) -> DataFrame:
     """(doc_id, p): the probability of label 1; 0.9 where there is no model, null for null texts."""
     if model is None:
