@@ -309,3 +309,76 @@ def approximate_substring(t: Tables) -> DataFrame:
     row = t("part", "p_partkey", "p_name", "p_size").selectExpr("p_partkey", "p_name", f"{text} AS text", "length(p_name) AS n")
     near = "exists(sequence(1, length(text)), i -> exists(sequence(n - most, n + most), m -> levenshtein(substr(text, i, m), p_name, most) >= 0))"
     return row.withColumn("most", F.ceil(F.col("n") * 0.2).cast("int")).select("p_partkey", F.expr(near).alias("found"))
+
+
+def _context() -> list[str]:
+    """What leads to a document: its address, the text of its link, and what stands around that; made up from doc_id so that every branch occurs, with the confidence of its parse."""
+    pick = lambda *v: f"get(array({', '.join(repr(x) for x in v)}), CAST(doc_id % {len(v)} AS INT))"
+    return [
+        f"{pick('http://x.org/papers/a.pdf', 'http://x.org/courses/b.pdf', 'http://x.org/c.pdf', 'http://x.org/talks/d.pdf', 'http://x.org/e.pdf')} AS url",
+        f"{pick('Download', 'Slides', 'pdf', 'Home page', 'A title', 'site map', 'Handout 3')} AS anchor",
+        f"{pick('', 'Penultimate draft', 'in Mind 2004', 'Forthcoming in Noûs', 'a chapter in a volume', 'my thesis', 'review of a book')} AS context",
+        "CAST(40 + doc_id * 13 % 60 AS DOUBLE) AS confidence",
+    ]
+
+
+_DUCK_CONTEXT = """SELECT doc_id, doc_id % 5 IN (1, 3) AS bad_url, doc_id % 7 IN (1, 3, 5, 6) AS bad_anchor, doc_id % 7 IN (1, 3) AS good_context, doc_id % 7 = 0 AS no_context, doc_id % 7 = 4 AS chapter, doc_id % 7 = 5 AS thesis, doc_id % 7 = 6 AS review, 40 + doc_id * 13 % 60 AS confidence, len(list_filter(string_split_regex(text, '[ \t\r\n]+'), lambda x: x <> '')) AS words FROM documents WHERE text IS NOT NULL"""
+
+
+def _nb(k: str, n: int, p: float) -> str:
+    """The probability of k failures before the n-th success, by factorials, for DuckDB."""
+    return f"greatest(exp(lgamma({k} + {n}) - lgamma({n}) - lgamma({k} + 1) + {n} * ln({p}) + {k} * ln({1 - p})), 1e-10)"
+
+
+def _smooth(k: str, yes: tuple[int, float], no: tuple[int, float]) -> str:
+    a, b = _nb(k, *yes), _nb(k, *no)
+    return f"ln(greatest({a}, ({a} + {b}) / 2)) - ln(greatest({b}, ({a} + {b}) / 2))"
+
+
+@paired(f"""SELECT doc_id, round(1 / (1 + exp(-(ln(0.6 / 0.4) + CASE WHEN bad_url THEN ln(0.05 / 0.2) ELSE ln(0.95 / 0.8) END + CASE WHEN bad_anchor THEN ln(0.005 / 0.3) ELSE ln(0.995 / 0.7) END
++ CASE WHEN good_context THEN ln(0.2 / 0.05) ELSE ln(0.8 / 0.95) END + {_smooth('confidence', (6, 0.1), (3, 0.1))}))), 6) AS p FROM ({_DUCK_CONTEXT})""")
+def score_link(t: Tables) -> DataFrame:
+    """How much the way to a document tells that it is a paper: its address, the link's text, what stands around it, and the confidence of the parse."""
+    from lectio.functions.score import binary, count_ratio, posterior
+
+    hit = lambda c, p: f"({c} RLIKE r'(?i){p}')"
+    ratios = [binary(hit("url", r"\bcours|\blecture|\btalk|handout|teaching"), 0.05, 0.2), binary(hit("anchor", r"^site\s*map$|^home|page\b|\bslides\b|handout"), 0.005, 0.3), binary(hit("context", "penultimate|draft|forthcoming"), 0.2, 0.05), count_ratio("confidence", (6, 0.1), (3, 0.1), True)]
+    return t("documents", "doc_id", "text").where("text IS NOT NULL").selectExpr("doc_id", *_context()).selectExpr("doc_id", f"round({posterior(0.6, ratios)}, 6) AS p")
+
+
+@paired(f"""WITH w AS (SELECT doc_id, no_context, chapter, thesis, review, CAST(words AS DOUBLE) AS k FROM ({_DUCK_CONTEXT})), s AS (SELECT doc_id, 1 / (1 + exp(-(ln(0.25) + {_smooth('k', (2, 0.0002), (3, 0.0002))} + CASE WHEN no_context THEN 0 WHEN chapter THEN ln(0.7 / 0.05) ELSE ln(0.3 / 0.95) END))) AS chapter,
+1 / (1 + exp(-(ln(0.25) + ln({_nb('k', 7, 0.0001)}) - ln({_nb('k', 1, 0.0001)}) + CASE WHEN no_context THEN 0 WHEN thesis THEN ln(0.7 / 0.05) ELSE ln(0.3 / 0.95) END))) AS thesis,
+1 / (1 + exp(-(ln(0.15 / 0.85) + {_smooth('k', (2, 0.0003), (3, 0.0002))} + CASE WHEN no_context THEN 0 WHEN review THEN ln(0.8 / 0.03) ELSE ln(0.2 / 0.97) END))) AS review FROM w)
+SELECT doc_id, round(chapter, 6) AS chapter, round(thesis, 6) AS thesis, round(review, 6) AS review, CASE WHEN greatest(chapter, thesis, review) <= 0.5 THEN 'article' WHEN chapter = greatest(chapter, thesis, review) THEN 'chapter' WHEN thesis = greatest(chapter, thesis, review) THEN 'thesis' ELSE 'review' END AS doctype FROM s""")
+def doctype_by_context(t: Tables) -> DataFrame:
+    """Chapter, thesis or review by length and by what stands around the link, which is passed over where there is nothing; the likeliest over one half, else an article."""
+    from lectio.functions.score import binary, count_ratio, posterior
+
+    seen = lambda p, y, n: binary(f"contains(lower(context), '{p}')", y, n, "context <> ''")
+    c = lambda y, n, s: count_ratio("words", y, n, s)
+    kinds = {"chapter": posterior(0.2, [c((2, 0.0002), (3, 0.0002), True), seen("chapter", 0.7, 0.05)]), "thesis": posterior(0.2, [c((7, 0.0001), (1, 0.0001), False), seen("thesis", 0.7, 0.05)]), "review": posterior(0.15, [c((2, 0.0003), (3, 0.0002), True), seen("review of", 0.8, 0.03)])}
+    row = t("documents", "doc_id", "text").where("text IS NOT NULL").selectExpr("doc_id", "CAST(regexp_count(text, '[^ \t\r\n]+') AS DOUBLE) AS words", *_context()).selectExpr("doc_id", *(f"{v} AS {k}" for k, v in kinds.items()))
+    high = "greatest(chapter, thesis, review)"
+    return row.selectExpr("doc_id", *(f"round({k}, 6) AS {k}" for k in kinds), f"CASE WHEN {high} <= 0.5 THEN 'article' {' '.join(f'WHEN {k} = {high} THEN {chr(39)}{k}{chr(39)}' for k in kinds)} END AS doctype")
+
+
+@paired("""SELECT doc_id, turn_labels, CASE WHEN n > 8 THEN list_sum(list_transform(p, lambda x: CASE WHEN x > 0.6 THEN 1 ELSE 0 END)) ELSE n END AS kept FROM (SELECT doc_id, list_transform(string_split(text, chr(10)), lambda x: least(1.0, length(x) % 100 / 100.0)) AS p, len(string_split(text, chr(10))) AS n, 'AUTHOR' AS turn_labels FROM documents WHERE text IS NOT NULL)""")
+def candidate_pruning(t: Tables) -> DataFrame:
+    """Candidates of a label: where a document has more than eight, only those over 0.6 stay. A line's score is made up from its length."""
+    scores = F.transform(F.split("text", "\n", -1), lambda x: F.length(x) % 100 / 100)
+    kept = F.when(F.size("p") > 8, F.size(F.filter("p", lambda x: x > 0.6))).otherwise(F.size("p"))
+    return t("documents", "doc_id", "text").where("text IS NOT NULL").select("doc_id", scores.alias("p")).select("doc_id", F.lit("AUTHOR").alias("turn_labels"), kept.alias("kept"))
+
+
+@paired("""WITH a AS (SELECT p_partkey, p_size % 3 + 1 AS n, (p_size % 3 + 1) * (p_size % 2 + 1) AS n2 FROM part) SELECT p_partkey, i, i % n AS first, i // n AS second FROM a, range(0, 6) r(i) WHERE i < n2""")
+def parsing_generator(t: Tables) -> DataFrame:
+    """All readings of the atoms of a text, one row each: which label of the first and of the second atom, by counting in mixed radix; nothing is left out."""
+    row = t("part", "p_partkey", "p_size").selectExpr("p_partkey", "array(CAST(p_size % 3 + 1 AS BIGINT), CAST(p_size % 2 + 1 AS BIGINT)) AS radix")
+    return row.selectExpr("p_partkey", "radix", "explode(sequence(0L, aggregate(radix, 1L, (a, r) -> a * r) - 1)) AS i").selectExpr("p_partkey", "i", "i % radix[0] AS first", "i DIV radix[0] AS second")
+
+
+@paired("""SELECT doc_id, string_agg(CAST(i AS VARCHAR), ',' ORDER BY v, i) AS order_ FROM (SELECT doc_id, i, round(abs(p - q) / sqrt(2), 9) AS v FROM (SELECT doc_id, i, (doc_id * 7 + i * 3) % 10 / 10e0 AS p, (doc_id + i) % 10 / 10e0 AS q FROM documents, range(0, 5) r(i))) GROUP BY doc_id""")
+def atoms_by_variance(t: Tables) -> DataFrame:
+    """Atoms in the order in which they are tried: by the spread of their labels' scores, the least first."""
+    atoms = F.transform(F.sequence(F.lit(0), F.lit(4)), lambda i: F.struct(F.round(F.abs((F.col("doc_id") * 7 + i * 3) % 10 / 10 - (F.col("doc_id") + i) % 10 / 10) / F.sqrt(F.lit(2.0)), 9).alias("v"), i.alias("i")))
+    return t("documents", "doc_id").select("doc_id", F.array_join(F.transform(F.array_sort(atoms), lambda x: x["i"].cast("string")), ",").alias("order_"))

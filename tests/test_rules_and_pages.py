@@ -75,3 +75,34 @@ def test_a_stream_goes_on_where_it_was(spark, tmp_path):
     rows(4, 12).coalesce(1).write.mode("append").parquet(str(folder))
     got = {r.source_id: r.n for r in events.drain(events.states(stream()), "complete", base).collect()}
     assert got == {0: 3, 1: 3, 2: 2, 3: 2, 4: 2}
+
+
+def test_citations_that_lack_parts(spark):
+    from lectio.operators import bibliography
+
+    rows = [(1, "Lane, Ada (1998). A map of small rooms. Journal of Rooms 3: 1-20."), (2, "— (2007). More exceptions to the rules. Northern Press."), (3, ""), (4, None), (5, "[12] M. Stone, “Weighing evidence twice”, Review of Weights, 2011.")]
+    got = {r.k: (r.authors, r.title, r.year) for r in bibliography.parse_entries(spark.createDataFrame(rows, "k long, text string"), "k").collect()}
+    assert got == {1: ("Lane, Ada", "A map of small rooms", "1998"), 2: ("—", "More exceptions to the rules", "2007"), 5: ("M. Stone", "Weighing evidence twice", "2011")}
+    assert bibliography.parse_entries(spark.createDataFrame([], "k long, text string"), "k").count() == 0
+
+
+def test_command_line(spark, data, tmp_path, capsys):
+    from lectio import cli
+
+    assert cli.main(["list"]) == 0 and "score_paper" in capsys.readouterr().out.split()
+    assert cli.main(["run", "doc_wordcount", data, "--to", str(tmp_path / "out"), "--format", "json"], spark) == 0
+    assert spark.read.json(str(tmp_path / "out")).count() == 200
+    assert cli.main(["document", data, "7"], spark) == 0 and '"title":"On the Weight of' in capsys.readouterr().out
+    assert '"error"' in cli.document(spark, data, -1)
+
+
+def test_plans_have_no_needless_exchange(spark, data):
+    from lectio.plans.catalogue import QUERIES
+
+    plan = lambda name: QUERIES[name](spark, data)._jdf.queryExecution().executedPlan().toString()
+    for name in ("due_new", "due_ok", "due_broken"):
+        assert "SinglePartition" not in plan(name)
+    assert plan("due_priority").count("TakeOrderedAndProject") >= 1
+    for name in ("doc_linestats", "score_link", "page_session_vars", "url_resolve"):
+        assert "Exchange" not in plan(name)
+    assert "line#" not in plan("line_rank_best").split("Exchange", 1)[0].rsplit("Window", 1)[-1]
