@@ -68,9 +68,9 @@ Pack = dict[str, Sequence[Rule]]
 
 
 def label_sql(registry: Registry, rules: Sequence[Rule], stage: int | None = None) -> str:
-    """The score of one label in a round. Rules with the same feature replace one another, the last counts."""
+    """The score of one label in a round. Rules with the same feature replace one another, the last counts; one whose truth is null is passed over."""
     last = {r.tree: r for r in rules if r.counts(stage)}
-    return estimate_array([(f"coalesce({registry.compile(r.tree)}, 0e0)" if isinstance(r.tree, str) else registry.compile(r.tree), r.true, r.false) for r in last.values()])
+    return estimate_array([(registry.compile(r.tree), r.true, r.false) for r in last.values()])
 
 
 def label(rows: DataFrame, registry: Registry, pack: Pack, rounds: int = 1, prefix: str = "p_") -> DataFrame:
@@ -81,6 +81,11 @@ def label(rows: DataFrame, registry: Registry, pack: Pack, rounds: int = 1, pref
     return rows
 
 
+def relevant(pack: Pack, prefix: str = "p_", least: float = 0.5) -> str:
+    """SQL that is true for rows worth another round: those that reach half of what counts for some label."""
+    return " OR ".join(f"{prefix}{name} >= {least / 2}" for name in pack)
+
+
 def best(pack: Pack, prefix: str = "p_", least: float = 0.5, other: str = "NONE") -> str:
     """SQL for the label with the highest score over `least`, the first of equals."""
     high = "greatest(" + ", ".join(f"{prefix}{n}" for n in pack) + ", 0e0)" if len(pack) > 1 else f"{prefix}{next(iter(pack))}"

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectio.functions.rulepack import Pack, Registry, Rule, label
+
 PAGE = ("doc_id", "page_no")
 
 
@@ -81,3 +83,27 @@ def hocr_lines(pages: DataFrame, dpi: int = 300) -> DataFrame:
     middle = (F.get(sizes, F.floor((F.size(sizes) - 1) / 2).cast("int")) + F.get(sizes, F.floor(F.size(sizes) / 2).cast("int"))) / 2
     repaired = F.array_join(F.transform("words", lambda w: F.regexp_replace(F.regexp_replace(text(w), r"(?<=\p{L}[01]{0,9})0(?=[01]{0,9}\p{L})", "o"), r"(?<=\p{L}1{0,9})1(?=1{0,9}\p{L})", "i")), " ")
     return line.select(*PAGE, "line_no", number(F.get("b", 1)).alias("top"), number(F.get("b", 0)).alias("left"), number(F.get("b", 2).cast("int") - F.get("b", 0).cast("int")).alias("width"), F.round(middle / dpi * 72 * 1.5).cast("int").alias("font_size"), repaired.alias("text"))
+
+
+COVER_WORDS = "repository|downloaded|please cite|available at|this version|issn|terms of use|licen[cs]e|preprint|stable url|accessed"
+COVER: Pack = {"COVERPAGE": [Rule("first", 0.1, -0.4), Rule("unusual_width", 0.4, -0.4), Rule("no_normal_font", 0.3, -0.3), Rule("cover_words", 0.4, -0.5), Rule("late_second", 0.3, -0.5), Rule("capital_next", 0.1, -0.4)]}
+
+
+def without_cover(lines: DataFrame, most: int = 3, tolerance: int = 10, least: float = 0.5) -> DataFrame:
+    """lines without the pages before a document's first that are likely covers: of the first `most` pages those up to the last
+    that scores `least`, by a pack of rules over pages. A document never loses all of its pages."""
+    doc = Window.partitionBy("doc_id")
+    font = lines.groupBy("doc_id").agg(F.mode(F.when(F.length("text") >= 10, F.col("font_size")), deterministic=True).alias("usual"))
+    head = F.min_by("text", "top")
+    pages = lines.join(font, "doc_id").groupBy(*PAGE).agg(F.max(F.col("left") + F.col("width")).alias("reach"), F.count(F.when(F.col("font_size") == F.col("usual"), 1)).alias("normal"), F.count(F.when(F.abs(F.col("font_size") - F.col("usual")) < 2, 1)).alias("near"), F.sum(F.regexp_count(F.lower("text"), F.lit(COVER_WORDS))).alias("words"), head.alias("head"), F.count(F.when(F.col("text").rlike("^[-– ]*2[-– ]*$"), 1)).alias("second"))
+    by = doc.orderBy("page_no")
+    ahead = by.rowsBetween(1, 8)
+    pages = pages.select("*", F.row_number().over(by).alias("nth"), F.count("page_no").over(doc).alias("n"), F.min("reach").over(ahead).alias("low"), F.max("reach").over(ahead).alias("high"), F.count("reach").over(ahead).alias("following"), F.lead("head").over(by).alias("next"), F.max(F.when(F.col("second") > 0, F.col("page_no"))).over(by.rowsBetween(1, 4)).alias("two"))
+    names = Registry().add(
+        first="CASE WHEN nth = 1 THEN 1e0 ELSE 0e0 END", unusual_width=f"CASE WHEN following >= 3 THEN CASE WHEN reach BETWEEN low - {tolerance} AND high + {tolerance} THEN 0e0 ELSE 1e0 END END",
+        no_normal_font="CASE WHEN normal > 0 THEN 0e0 WHEN near > 0 THEN 0.5e0 ELSE 1e0 END", cover_words="CASE WHEN words = 0 THEN 0e0 ELSE least(1e0, 0.5e0 + words / 6e0) END",
+        late_second="CASE WHEN two IS NOT NULL THEN CASE WHEN two - page_no > 1 THEN 1e0 ELSE 0e0 END END", capital_next=r"CASE WHEN next IS NOT NULL THEN CASE WHEN next RLIKE r'^\P{L}*\p{Lu}' THEN 1e0 ELSE 0e0 END END",
+    )
+    scored = label(pages, names, COVER).where((F.col("nth") <= most) & (F.col("nth") < F.col("n")) & (F.col("p_COVERPAGE") >= least))
+    last = scored.groupBy("doc_id").agg(F.max("page_no").alias("last_"))
+    return lines.join(last, "doc_id", "left").where("last_ IS NULL OR page_no > last_").drop("last_")

@@ -194,3 +194,13 @@ def line_within_previous(t: Tables) -> DataFrame:
     above, size = F.lag("top").over(_page()), F.lag("font_size").over(_page())
     middle = F.col("top") + F.col("font_size") / 2
     return _lines(t).select("doc_id", "line_no", F.coalesce(middle.between(above, above + size * 1.4), F.lit(False)).alias("within_"))
+
+
+@paired(f"""SELECT doc_id, page_no, line_no FROM ({DUCK})""")
+def strip_covers(t: Tables) -> DataFrame:
+    """Covers that a repository put before every second document go again, and nothing else does."""
+    lines = _lines(t).select("doc_id", "page_no", "line_no", "top", "left", "width", "font_size", "text")
+    texts = F.array(F.lit("Repository of Examples"), F.lit("please cite this version as follows"), F.lit("Downloaded from http://x.org, accessed today"))
+    cover = t("documents", "doc_id").where("doc_id % 2 = 0").join(lines.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", F.lit(0).alias("page_no"), F.posexplode(texts).alias("k", "text"))
+    cover = cover.select("doc_id", "page_no", (-1 - F.col("k")).alias("line_no"), (F.lit(200) + 30 * F.col("k")).alias("top"), F.lit(100).alias("left"), F.lit(700).alias("width"), F.lit(17).alias("font_size"), "text")
+    return geometry.without_cover(lines.unionByName(cover)).select("doc_id", "page_no", "line_no")

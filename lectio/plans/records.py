@@ -382,3 +382,40 @@ def atoms_by_variance(t: Tables) -> DataFrame:
     """Atoms in the order in which they are tried: by the spread of their labels' scores, the least first."""
     atoms = F.transform(F.sequence(F.lit(0), F.lit(4)), lambda i: F.struct(F.round(F.abs((F.col("doc_id") * 7 + i * 3) % 10 / 10 - (F.col("doc_id") + i) % 10 / 10) / F.sqrt(F.lit(2.0)), 9).alias("v"), i.alias("i")))
     return t("documents", "doc_id").select("doc_id", F.array_join(F.transform(F.array_sort(atoms), lambda x: x["i"].cast("string")), ",").alias("order_"))
+
+
+_SPAM = [("filetype", 1, 0), ("bad_anchor", 0.3, -0.1), ("bad_path", 0.3, -0.1), ("index_file", 0.4, -0.1), ("course", 0.3, -0.1), ("paper", -0.4, 0.1), ("interview", 0.2, 0), ("few_verbs", 0.5, -0.1), ("short", 0.4, -0.1), ("long", -0.2, 0.2), ("short_lines", 0.4, 0), ("low_confidence", 0.3, -0.1)]
+_COUNTS = {"course": ("course|homework|lecture|seminar", 1000), "paper": ("in section|finally,", 4000), "interview": ("interview|do you", 2000)}
+
+
+def _duck_estimate(rules: list[tuple[str, float, float]]) -> str:
+    """The score estimator for DuckDB as it is defined, over a list of scores: each side by its product, weighed by its exponentials."""
+    scores = "[" + ", ".join(f"({f}) * {a} + (1 - ({f})) * {b}" for f, a, b in rules) + "]"
+    side = lambda c: f"list_filter(s, lambda x: x {c})"
+    product = lambda c: f"coalesce(list_product(list_transform({side(c)}, lambda x: 1 - abs(x))), 1)"
+    weight = lambda c: f"0.01 + coalesce(list_sum(list_transform({side(c)}, lambda x: exp(5 * (0.5 + abs(x))))), 0)"
+    return f"list_transform([{scores}], lambda s: ((1 - {product('>= 0')} / 2) * ({weight('>= 0')}) + {product('< 0')} / 2 * ({weight('< 0')})) / ({weight('>= 0')} + {weight('< 0')}))[1]"
+
+
+_DUCK_SPAM = {
+    "filetype": "0e0", "bad_anchor": "CAST(doc_id % 7 IN (1, 3, 5, 6) AS INT)", "bad_path": "CAST(doc_id % 5 IN (1, 3) AS INT)", "index_file": "0e0",
+    **{k: f"least(1e0, {w}e0 * len(regexp_extract_all(lower(text), '{p}')) / greatest(1, length(text)))" for k, (p, w) in _COUNTS.items()},
+    "few_verbs": "greatest(0e0, 1 - 1000e0 * len(list_filter(string_split_regex(text, '[^a-zA-Z]+'), lambda x: x = 'is')) / greatest(1, length(text)))", "short": "greatest(0e0, least(1e0, 1.5e0 - length(text) / 5000e0))", "long": "least(1e0, length(text) / 70000e0)",
+    "short_lines": "greatest(0e0, least(1e0, 1.3e0 - list_median(list_transform(string_split(text, chr(10)), lambda x: length(x))) / 70e0))", "low_confidence": "1 - (40 + doc_id * 13 % 60) / 100e0",
+}
+
+
+@paired(f"""SELECT doc_id, round({_duck_estimate([(_DUCK_SPAM[n], a, b) for n, a, b in _SPAM])}, 6) AS spam FROM documents WHERE text IS NOT NULL""".replace("list_product(", "list_aggregate(").replace("1 - abs(x))), 1)", "1 - abs(x)), 'product'), 1)"))
+def score_spam(t: Tables) -> DataFrame:
+    """How likely a document is nothing that is looked for, by a pack of rules."""
+    from lectio.functions.rulepack import Registry, Rule, label
+
+    yes = lambda c: f"CASE WHEN {c} THEN 1e0 ELSE 0e0 END"
+    names = Registry().add(
+        filetype=yes("lower(url) RLIKE '[.](ppt|php|asp|jpg|png|ttf)$'"), bad_anchor=yes(r"anchor RLIKE r'(?i)^site\s*map$|^home|page\b|\bslides\b|handout'"), bad_path=yes("url RLIKE 'cours|lectur|talk|handout|teaching'"), index_file=yes("url RLIKE '^https?://[^/]+/?(index[.][a-z]+)?$'"),
+        **{k: f"least(1e0, {w}e0 * regexp_count(low, '{p}') / greatest(1, n))" for k, (p, w) in _COUNTS.items()},
+        few_verbs="greatest(0e0, 1 - 1000e0 * size(filter(split(text, '[^a-zA-Z]+', -1), x -> x = 'is')) / greatest(1, n))", short="greatest(0e0, least(1e0, 1.5e0 - n / 5000e0))", long="least(1e0, n / 70000e0)",
+        short_lines="greatest(0e0, least(1e0, 1.3e0 - (sizes[(size(sizes) - 1) DIV 2] + sizes[size(sizes) DIV 2]) / 2e0 / 70e0))", low_confidence="1 - confidence / 100e0",
+    )
+    row = t("documents", "doc_id", "text").where("text IS NOT NULL").selectExpr("doc_id", "text", "lower(text) AS low", "length(text) AS n", "array_sort(transform(split(text, '\n', -1), x -> length(x))) AS sizes", *_context())
+    return label(row, names, {"SPAM": [Rule(n, a, b) for n, a, b in _SPAM]}).select("doc_id", F.round("p_SPAM", 6).alias("spam"))
