@@ -14,7 +14,7 @@ from pyspark.sql.types import StructType
 from lectio.session import importable
 
 #: Bytes of text that are taken up by numpy at once.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 19
 
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -112,9 +112,19 @@ def words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(hashed), np.cumsum(np.concatenate(counts))
 
 
+_RELEASES: list[Callable[[], None]] = []
+
+
+def at_release(forget: Callable[[], None]) -> None:
+    """Has something forgotten at the end of each task of this worker."""
+    _RELEASES.append(forget)
+
+
 def release() -> None:
     """Give memory that is no longer used back to the system: Python workers outlive their tasks."""
     _POWERS.clear()
+    for forget in _RELEASES:
+        forget()
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectio.llm.blocks import arrow_map, flat, joined, ragged, slices, view
-from lectio.llm.tokens import encoder, shipped
+from lectio.llm.tokens import encoder, first_free, shipped
 from lectio.session import materialise
 
 CAPACITY, SENTENCE, HARD = 2048, 128, 1024
@@ -163,6 +163,7 @@ def pack(docs: DataFrame, vocab: str | None = None, capacity: int = CAPACITY, se
     first. Further columns are ignored. An empty table gives no rows.
     """
     ranks = shipped(docs.sparkSession, vocab)
+    last = first_free(ranks.value)
     counted = _count(docs, ranks)
     bounds = _bounds(counted, block_tokens, parts)
     shared = docs.sparkSession.sparkContext.broadcast(bounds)
@@ -180,7 +181,7 @@ def pack(docs: DataFrame, vocab: str | None = None, capacity: int = CAPACITY, se
             yield pa.RecordBatch.from_arrays([pa.array(part), *batch.columns], ["part", *batch.schema.names])
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        begins, coder = [b[3] for b in shared.value], encoder(ranks.value)
+        begins = [b[3] for b in shared.value]
         held: list[pa.RecordBatch] = []
         now = block = None
         total = 0
@@ -196,21 +197,21 @@ def pack(docs: DataFrame, vocab: str | None = None, capacity: int = CAPACITY, se
                 number = (after - size) // block_tokens
                 end = at + int(np.searchsorted(number, number[0], "right"))
                 if number[0] != block and held:
-                    yield build(block, joined(held), coder)
+                    yield build(block, joined(held))
                     held = []
                 block, total = int(number[0]), int(after[end - at - 1])
                 held.append(batch.slice(at, end - at))
                 at = end
         if held:
-            yield build(block, joined(held), coder)
+            yield build(block, joined(held))
 
-    def build(block: int, rows: pa.RecordBatch, coder) -> pa.RecordBatch:
+    def build(block: int, rows: pa.RecordBatch) -> pa.RecordBatch:
         data, at = view(rows.column("ends"))
         inner = np.split(data.copy().view(np.uint32).astype(np.int64), at[1:-1] // 4)
         n = rows.column("n").to_numpy()
         cut, begin = windows(n, inner, capacity, sentence, hard)
-        ids = np.full(begin[-1], coder.vocabulary, np.int32)
-        ids[ragged(begin[:-1], n)] = view(rows.column("ids"))[0].copy().view(coder.kind)
+        ids = np.full(begin[-1], last, np.int32)
+        ids[ragged(begin[:-1], n)] = view(rows.column("ids"))[0].copy().view(np.uint16 if last < 1 << 16 else np.uint32)
         low, high = cut[:-1], cut[1:]
         one = np.searchsorted(begin, low, "right") - 1
         size = np.searchsorted(begin, high, "left") - one

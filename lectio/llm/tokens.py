@@ -18,11 +18,11 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import SparkSession
 
-from lectio.llm.blocks import hashes, view
+from lectio.llm.blocks import at_release, hashes, view
 
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Pieces that a worker remembers; when there are more it starts anew.
-MEMORY = 1 << 19
+MEMORY = 1 << 17
 #: A vocabulary that is sent to the workers has so many bytes at most.
 MOST_BYTES = 64 << 20
 
@@ -159,4 +159,12 @@ class Encoder:
 
 @functools.lru_cache(2)
 def encoder(source: str | bytes) -> Encoder:
-    return Encoder(source)
+    """The encoder of a vocabulary, which a worker keeps; what it has learnt of a task's texts goes when the task ends."""
+    made = Encoder(source)
+    at_release(made._forget)
+    return made
+
+
+def first_free(source: bytes) -> int:
+    """The first id beyond those of a file of ranks."""
+    return 1 + max(int(line.split()[1]) for line in source.splitlines() if line)
