@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from lectio.llm import decontam, minhash, packing, rules, secrets
-from lectio.session import delete, shared_dir, sweep
+from lectio.session import delete, mark, shared_dir, sweep
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,10 +58,10 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     docs, base, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}", None
     for i, (name, stage) in enumerate(STAGES):
-        path = f"{base}/{i}-{name}"
+        path, before = f"{base}/{i}-{name}", mark()
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
-        sweep(spark)
+        sweep(spark, before)
         if last:
             delete(spark, last)
         last = path

@@ -69,7 +69,12 @@ def delete(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def sweep(spark: SparkSession) -> None:
-    """Deletes what materialise wrote since the last sweep. Call it once the results that read it are written or no longer needed."""
-    while _WRITTEN:
+def mark() -> int:
+    """Where the list of written folders ends now, for a later sweep of what comes after."""
+    return len(_WRITTEN)
+
+
+def sweep(spark: SparkSession, since: int = 0) -> None:
+    """Deletes what materialise wrote since a mark, or since the start. Call it once the results that read it are written or no longer needed."""
+    while len(_WRITTEN) > since:
         delete(spark, _WRITTEN.pop())
