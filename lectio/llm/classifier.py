@@ -22,7 +22,7 @@ from lectio.llm.blocks import arrow_map, slices, view
 SAMPLE, SAMPLE_BYTES = 1500, 12 << 20
 DICTIONARY_BYTES, LEVEL = 112_640, 3
 #: Texts are compressed in chunks, so that long ones are measured by the dictionary all along and not by their own beginning.
-CHUNK = 4096
+CHUNK = 1024
 #: The part of good texts that the decision to keep is set to leave alone, by held-out labelled texts.
 KEEP_GOOD = 0.995
 
@@ -47,12 +47,12 @@ def _compressor(raw: bytes) -> zstandard.ZstdCompressor:
 
 
 def dictionary(texts: list[bytes]) -> bytes:
-    """A dictionary of these texts: trained where there are enough of them, and else the texts themselves."""
+    """A dictionary of these texts: trained where there are enough of them, and else (a few texts, or hardly any that differ) the texts themselves, whole."""
     parts = [t[i : i + CHUNK] for t in texts for i in range(0, len(t), CHUNK)]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, parts, level=LEVEL).as_bytes()
     except zstandard.ZstdError:
-        return b"".join(texts)[-DICTIONARY_BYTES:]
+        return b"".join(texts)
 
 
 def margin(text: bytes, good: zstandard.ZstdCompressor, bad: zstandard.ZstdCompressor) -> float:
@@ -87,7 +87,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_bytes:
 
     Good is quality 1 and not toxic, bad is quality 0. Of each class the `sample` documents whose ids hash lowest are used,
     half for the dictionary and half for the curve, as whole texts and until sample_bytes are reached. Null labels, ids and texts, empty
-    texts and ids with labels of both classes take no part; of rows that repeat an id, the least text does.
+    texts and ids with labels of both classes take no part; of rows that repeat an id, the least text does. Further columns
+    are ignored, whatever they are called; an empty table of either kind gives None.
     """
     judged = labels.select(F.col("doc_id").cast("long").alias("labelled"), F.when((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0), 1).when(F.col("quality") == 0, 0).alias("good")).where("labelled IS NOT NULL AND good IS NOT NULL")
     judged = judged.groupBy("labelled").agg(F.min("good").alias("good"), F.max("good").alias("most")).where("good = most").select("labelled", "good", F.xxhash64("labelled").alias("draw"))
@@ -120,7 +121,8 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
     """(doc_id, margin, score, keep) of each row: the margin, the probability that the text is good, and whether it reaches the model's threshold.
 
     The whole text counts. Null and empty texts, and all texts where there is no model, have a null margin and score, and
-    keep is null. Null ids and rows that repeat are scored like others; further columns are ignored.
+    keep is null. Null ids and rows that repeat are scored like others; further columns are ignored. An empty table gives no
+    rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

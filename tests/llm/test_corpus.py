@@ -78,25 +78,67 @@ def _all_pairs(sigs, m):
     return out
 
 
-@pytest.mark.parametrize("members", [1, 1024])
-def test_all_pairs_match_brute_force_over_all_rows(spark, data, docs_of, monkeypatch, members):
+def _links(sigs, m):
+    """For each document the smallest of its group, and with how many it collides; by comparing all rows."""
+    pairs = _all_pairs(sigs, m)
+    root, n = _groups(pairs, sigs), dict.fromkeys(sigs, 0)
+    for a, b in pairs:
+        n[a] += 1
+        n[b] += 1
+    return {d: (root[d], n[d]) for d in sigs}
+
+
+@pytest.mark.parametrize(("most", "small"), [(16_384, 96), (3, 1)])
+def test_links_match_brute_force_over_all_rows(spark, data, docs_of, monkeypatch, most, small):
     from lectio.llm.queries import QUERIES
 
-    monkeypatch.setattr(minhash, "MEMBERS", members)
-    small = data.replace("0.001", "0.01")
-    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").collect()]
-    got = QUERIES["op9_near_duplicates"](spark, small).collect()
-    assert {(r.doc_a, r.doc_b): r.matches for r in got} == _all_pairs(_signatures(rows), minhash.M) and len(got) == len({(r.doc_a, r.doc_b) for r in got})
-    near = " ".join(f"w{i}" for i in range(200))
-    rows = [*((i, "the very same text of some words") for i in range(100, 160)), *((i, near) for i in (5, 1, 9)), *((i, near + " more") for i in (7, 2)), (3, None), (4, "")]
-    got = minhash.all_pairs(docs_of(rows)).collect()
-    assert {(r.doc_a, r.doc_b): r.matches for r in got} == _all_pairs(_signatures([r for r in rows if r[1]]), minhash.M) and len(got) == 1770 + 10
-    got = minhash.all_pairs(docs_of([*rows, (1, near + " more"), (1, near)])).collect()
-    assert len(got) == 1780 == len({(r.doc_a, r.doc_b) for r in got}) and next(r.matches for r in got if (r.doc_a, r.doc_b) == (1, 2)) == minhash.K
+    plain = minhash.join
+    monkeypatch.setattr(minhash, "LIST", most)
+    monkeypatch.setattr(minhash, "join", lambda of, k, m, kind="pairs": plain(of, k, m, kind, small))
+    if most > 3:
+        tables = data.replace("0.001", "0.01")
+        rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{tables}/documents.parquet").select("doc_id", "text").collect()]
+        got = QUERIES["op9_near_duplicates"](spark, tables).collect()
+        assert {r.doc_id: (r.class_id, r.n_links) for r in got} == _links(_signatures(rows), minhash.M) and len(got) == len(rows)
+    words_ = [f"w{i}" for i in range(200)]
+    near = [" ".join(w if j != 3 * i else "changed" for j, w in enumerate(words_)) for i in range(60)]
+    rows = [*((i, "the very same text of some words") for i in range(100, 160)), *((1000 + i, t) for i, t in enumerate(near)), *((2000 + i, t) for i, t in enumerate(near[:7])), (3, None), (4, "")]
+    want = _links(_signatures([r for r in rows if r[1]]), minhash.M) | {3: (3, 0), 4: (4, 0)}
+    assert {r.doc_id: (r.class_id, r.n_links) for r in minhash.links(docs_of(rows)).collect()} == want and want[2000] == (1000, 66)
+    pairs = {(r.doc_a, r.doc_b): r.matches for r in minhash.near_duplicates(docs_of(rows)).collect()}
+    assert pairs == _pairs(_signatures([r for r in rows if r[1]]), minhash.M)
+    kept = {r.doc_id for r in minhash.deduplicate(docs_of(rows)).select("doc_id").collect()}
+    assert kept == {d for d, (c, _) in want.items() if c == d}
+
+
+def test_links_of_a_document_with_several_texts(docs_of):
+    one, two = (" ".join(f"{c}{i}" for i in range(80)) for c in "ab")
+    rows = [(5, one), (5, one), (5, two), (7, one), (8, two), (2, two + " more"), (9, "quite another text"), (None, one)]
+    got = {r.doc_id: (r.class_id, r.n_links) for r in minhash.links(docs_of(rows)).collect()}
+    assert got == {5: (2, 3), 7: (2, 1), 8: (2, 2), 2: (2, 2), 9: (9, 0)}
+
+
+def test_long_lists_of_unlike_texts_take_little_time():
+    import time
+
+    rng = np.random.default_rng(1)
+    values, ranks = rng.integers(0, 1 << 32, (8000, minhash.K), dtype=np.uint32), np.full((8000, minhash.K), 9, np.uint8)
+    values[:, 0] = 7
+    packed = [v.tobytes() + r.tobytes() for v, r in zip(values, ranks)]
+    shared = values.copy()
+    shared[:, :30] = rng.integers(0, 5, (8000, 30))  # texts that share tokens, but never so many
+    for some in (packed, [v.tobytes() + r.tobytes() for v, r in zip(shared, ranks)]):
+        n = len(some)
+        part = pa.RecordBatch.from_arrays([pa.array(np.arange(n)), pa.array(np.arange(n)), pa.array(np.ones(n, np.int64)), pa.array([False] * n), pa.array(some, pa.binary())], ["node", "rep", "size", "side", "packed"])
+        for kind in ("links", "forest"):
+            start = time.perf_counter()
+            found = minhash._visit(kind, 7, False, part, minhash.K, minhash.M)
+            assert not len(found[0]) and time.perf_counter() - start < 10
 
 
 def test_near_duplicates_odd_rows(odd, clash, docs_of):
     assert minhash.near_duplicates(clash).collect() == []
+    assert {r.doc_id: (r.class_id, r.n_links) for r in minhash.links(clash).collect()} == {i: (i, 0) for i in range(1, 8)} and minhash.links(odd.limit(0)).count() == 0
     kept = minhash.deduplicate(clash)
     assert kept.columns == clash.columns
     rows = [(r.doc_id, r.text and r.text[:9]) for r in kept.collect()]
@@ -124,6 +166,8 @@ def _leaks(docs, tests, need=decontam.MIN_WORDS):
             b = words(split(test))[0].tolist()
             least = min(need, len(b))
             if len(b) < decontam.SHORTEST:
+                if b and a == b:
+                    out[d, i] = (len(b), 0, 0)
                 continue
             best = (0, 0, 0)
             for x in range(len(a)):
@@ -155,14 +199,23 @@ def test_leaks_over_tables(spark, data):
     ids = sorted({d for d, _ in got})[:2]
     want = _leaks([(d, text[d]) for d in ids], [(r.item_id, r.text) for r in bench.collect()])
     assert {k: v for k, v in got.items() if k[0] in ids} == want
-    kept = {r.doc_id for r in decontam.decontaminate(docs, bench).collect()}
+    kept = {r.doc_id for r in decontam.decontaminate(docs, bench, chunk_bytes=3_000).collect()}
     assert kept == set(text) - {d for d, _ in got}
 
 
+def test_a_benchmark_of_many_chunks_is_one_pass(spark, data):
+    docs, bench = spark.read.parquet(f"{data}/documents.parquet"), spark.read.parquet(f"{data}/benchmark.parquet")
+    assert len(decontam._chunks(bench, 13, 5, 1_000)[0]) >= 10
+    for plan in (decontam.leaks(docs, bench, chunk_bytes=1_000), decontam.decontaminate(docs, bench, chunk_bytes=1_000)):
+        assert plan._jdf.queryExecution().executedPlan().toString().count("Scan parquet") <= 1
+
+
 def test_leaks_odd_rows(spark, odd, clash):
     bench = spark.createDataFrame([(1, "One plain line of words."), (2, None), (None, "Another text for it, yes."), (3, ""), (4, "too short"), (1, "One plain line of words.")], "item_id long, text string")
     got = decontam.leaks(clash, bench).collect()
     assert [(r.doc_id, r.item_id, r.n_words) for r in got] == [(1, 1, 5)]
+    short = spark.createDataFrame([(1, "another text"), (2, "another text for it"), (3, "unicode")], "item_id long, text string")
+    assert [(r.doc_id, r.item_id, r.n_words) for r in decontam.leaks(clash, short).collect()] == [(1, 2, 4)]
     kept = decontam.decontaminate(clash, bench)
     assert kept.columns == clash.columns and kept.count() == odd.count() - 2
     assert decontam.leaks(odd, bench.limit(0)).count() == 0 and decontam.decontaminate(odd, bench.limit(0)).count() == odd.count()
@@ -195,3 +248,22 @@ def test_pipeline_keeps_columns(spark, data):
     for name, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, data).columns == docs.columns, name
     assert all(stage(spark, docs.limit(0), data).count() == 0 for _, stage in corpus_pipeline.STAGES)
+
+
+def test_pipeline_over_odd_rows(spark, data, clash, tmp_path):
+    import corpus_pipeline
+    from lectio.llm.tokens import encoder, vocabulary
+
+    folder = f"file://{tmp_path}"
+    clash.write.parquet(f"{folder}/documents.parquet")
+    spark.read.parquet(f"{data}/benchmark.parquet").write.parquet(f"{folder}/benchmark.parquet")
+    rows = sorted(corpus_pipeline.run(spark, folder).collect(), key=lambda r: (r.block, r.window))
+    got = {}
+    for r in rows:
+        tokens = iter(r.tokens)
+        for d, s, e in zip(r.doc_ids, r.starts, r.ends):
+            got.setdefault(d, []).extend(next(tokens) for _ in range(e - s))
+    coder = encoder(vocabulary())
+    text = {d: coder.plain.decode(t[:-1]) for d, t in got.items()}
+    want = {r.doc_id: r.text for r in clash.collect() if r.text and r.text.strip() and (r.doc_id != 1 or r.text.startswith("Another"))}
+    assert text == want and set(got) == {None, 1, 5, 6, 7}
