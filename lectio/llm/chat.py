@@ -20,6 +20,8 @@ OPEN, BREAK, CLOSE = b"<|im_start|>", b"\n", b"<|im_end|>\n"
 TRAINED = "assistant"
 #: Bytes of text that are put together at once; a longer conversation is put together by itself.
 PART_BYTES = 4 << 20
+#: What a string of Spark can hold.
+MOST_BYTES = (1 << 31) - 1
 
 
 def assemble(role: pa.Array, text: pa.Array, first: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
@@ -31,6 +33,8 @@ def assemble(role: pa.Array, text: pa.Array, first: np.ndarray) -> tuple[pa.Arra
     length[:, 1], length[:, 3] = np.diff(role_at), np.diff(text_at)
     end = np.cumsum(length.ravel()).reshape(n, 5)
     begin = end - length
+    if n and end[-1, -1] > MOST_BYTES:
+        raise ValueError(f"a conversation of {end[-1, -1]} bytes can't be one string")
     out = np.empty(int(end[-1, -1]) if n else 0, np.uint8)
     for place, mark in ((0, OPEN), (2, BREAK), (4, CLOSE)):
         out[begin[:, place, None] + np.arange(len(mark))] = np.frombuffer(mark, np.uint8)
@@ -46,8 +50,8 @@ def format_chats(conversations: DataFrame) -> DataFrame:
     A turn is "<|im_start|>role\\ntext<|im_end|>\\n". trained_bytes counts the bytes of the assistant's texts, which a loss
     mask keeps. "<|" inside a role or text becomes "< |", so no content can open or close a turn. A null role or text is
     empty; a null turn comes first; turns with the same number are ordered by role, then text, and rows that repeat are each
-    a turn. Rows with a null conv_id are one conversation, whose id is null. Further columns are ignored. An empty table
-    gives no rows.
+    a turn. Rows with a null conv_id are one conversation, whose id is null. Further columns are ignored. A
+    conversation that is longer than a string can be (2 GiB) is an error. An empty table gives no rows.
     """
     clean = lambda c: F.replace(F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit("<|"), F.lit("< |")).alias(c)
     turns = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), clean("role"), clean("text"))

@@ -25,6 +25,16 @@ def test_chats_match_plain_formatting(spark):
     assert chat.format_chats(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
+def test_a_conversation_beyond_a_string_is_an_error(monkeypatch):
+    import pytest
+
+    monkeypatch.setattr(chat, "MOST_BYTES", 60)
+    one = lambda n: chat.assemble(pa.array(["user"]), pa.array(["x" * n]), np.array([0, 1]))
+    assert one(10)[0][0].as_py().endswith("x<|im_end|>\n")
+    with pytest.raises(ValueError, match="one string"):
+        one(60)
+
+
 # Tokens
 
 
