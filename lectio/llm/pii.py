@@ -365,7 +365,6 @@ def entities(docs: DataFrame, key: bytes = KEY, again: frozenset[tuple[str, str]
 
 
 def shared(docs: DataFrame, key: bytes = KEY, again: frozenset[tuple[str, str]] = frozenset()) -> DataFrame:
-    """(kind, original): entities that have the surrogate of another one. The first of each kind and surrogate isn't named, so it keeps it."""
-    found = entities(docs, key, again).distinct()
-    clash = found.groupBy("kind", "surrogate").agg(F.count(F.lit(1)).alias("n"), F.min("original").alias("first")).where("n > 1")
-    return found.join(clash, ["kind", "surrogate"]).where("original <> first").select("kind", "original")
+    """(kind, original): of each surrogate that several entities have, the last of them in order; once it has another, the next is found."""
+    ends = entities(docs, key, again).groupBy("kind", "surrogate").agg(F.min("original").alias("first"), F.max("original").alias("original"))
+    return ends.where("original <> first").select("kind", "original")
