@@ -451,3 +451,20 @@ def test_a_shared_surrogate_is_resolved():
 @pytest.mark.parametrize("column", [pa.array([], pa.string()), pa.array([None, ""], pa.string())])
 def test_scans_of_nothing(column):
     assert all(len(x) == 0 for x in secrets.scan(column))
+
+
+def test_shared_names_one_entity_of_a_clash_a_round(spark, monkeypatch):
+    """Three entities with one surrogate take two rounds; other kinds, repeated rows and an empty table name nothing."""
+    rows = [("email", "a", "x"), ("email", "b", "x"), ("email", "c", "x"), ("email", "c", "x"), ("ip", "a", "x"), ("ip", "d", "y")]
+
+    def entities(docs, key, again):
+        made = [(k, o, f"{s}-{o}" if (k, o) in again else s) for k, o, s in rows]
+        return spark.createDataFrame(made if docs else [], "kind string, original string, surrogate string")
+
+    monkeypatch.setattr(pii, "entities", entities)
+    again, rounds = frozenset(), []
+    while more := frozenset(map(tuple, pii.shared(True, pii.KEY, again).collect())):
+        rounds.append(more)
+        again |= more
+    assert rounds == [{("email", "c")}, {("email", "b")}]
+    assert pii.shared(False).collect() == []
