@@ -74,8 +74,8 @@ def _secrets(text, window=20):
             continue
         done = []
         words_ = r"[/+_-]*(?:[A-Za-z]+|[0-9]+)(?:[/+_-]+(?:[A-Za-z]+|[0-9]+))*[/+_-]*"
-        before = lambda s: re.search(r"(?i)\b(commit|sha1|sha256|sha512|md5|checksum|digest|integrity|etag|rev)[^A-Za-z0-9_]{0,3}(sha[0-9]+-)?$", text[:s], re.A) or re.search(r"(?i)\bdata:\S*$", text[:s], re.A)
-        link = lambda s: re.search(r"://([^\s?#]*)$", text[:s])
+        before = lambda s: re.search(r"(?i)\b(commit|sha1|sha256|sha512|md5|checksum|digest|integrity|etag|rev)[^A-Za-z0-9_]{0,3}(sha[0-9]+-)?$", text[:s], re.A) or re.search(r"(?i)\bdata:\S*\Z", text[:s], re.A)
+        link = lambda s: re.search(r"://([^\s?#]*)\Z", text[:s])
         linked = link(min(whole.start() + 2, len(text)))
         for level, part in ((0, r".+"), (1, r"[^/]+"), (2, r"[^+/_-]+")):
             for m in re.finditer(part, whole[0]):
