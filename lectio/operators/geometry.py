@@ -89,21 +89,44 @@ COVER_WORDS = "repository|downloaded|please cite|available at|this version|issn|
 COVER: Pack = {"COVERPAGE": [Rule("first", 0.1, -0.4), Rule("unusual_width", 0.4, -0.4), Rule("no_normal_font", 0.3, -0.3), Rule("cover_words", 0.4, -0.5), Rule("late_second", 0.3, -0.5), Rule("capital_next", 0.1, -0.4)]}
 
 
+def usual_fonts(lines: DataFrame, most: int) -> DataFrame:
+    """(doc_id, fonts): a map from k = 0 to `most` to the font that is usual after a document's k-th page, with the number of lines there.
+
+    It is the font of the most lines of ten characters, of equals that of the most lines at all, of equals the smallest; 0
+    stands for the whole document. A k after which no page comes is missing.
+    """
+    fonts = lines.groupBy(*PAGE, "font_size").agg(F.count("*").alias("n"), F.count(F.when(F.length("text") >= 10, 1)).alias("long"))
+    nth = F.dense_rank().over(Window.partitionBy("doc_id").orderBy("page_no"))
+    after = fonts.withColumn("nth_", nth).select("doc_id", "font_size", "n", "long", F.explode(F.sequence(F.lit(0), F.least(F.col("nth_") - 1, F.lit(most)))).alias("k"))
+    after = after.groupBy("doc_id", "k", "font_size").agg(F.sum("n").alias("n"), F.sum("long").alias("long"))
+    usual = F.max_by("font_size", F.when(F.col("font_size").isNotNull(), F.struct("long", "n", -F.col("font_size"))))
+    after = after.groupBy("doc_id", "k").agg(usual.alias("usual"), F.sum("n").alias("n"))
+    return after.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("k", F.struct("usual", "n")))).alias("fonts"))
+
+
 def without_cover(lines: DataFrame, most: int = 3, tolerance: int = 10, least: float = 0.5) -> DataFrame:
     """lines without the pages before a document's first that are likely covers: of the first `most` pages those up to the last
-    that scores `least`, by a pack of rules over pages. A document never loses all of its pages."""
-    doc = Window.partitionBy("doc_id")
-    font = lines.groupBy("doc_id").agg(F.mode(F.when(F.length("text") >= 10, F.col("font_size")), deterministic=True).alias("usual"))
-    head = F.min_by("text", "top")
-    pages = lines.join(font, "doc_id").groupBy(*PAGE).agg(F.max(F.col("left") + F.col("width")).alias("reach"), F.count(F.when(F.col("font_size") == F.col("usual"), 1)).alias("normal"), F.count(F.when(F.abs(F.col("font_size") - F.col("usual")) < 2, 1)).alias("near"), F.sum(F.regexp_count(F.lower("text"), F.lit(COVER_WORDS))).alias("words"), head.alias("head"), F.count(F.when(F.col("text").rlike("^[-– ]*2[-– ]*$"), 1)).alias("second"))
+    that scores `least`, by a pack of rules over pages. A document never loses all of its pages.
+
+    A page's font is held against the one that is usual on the pages after it, since a cover may have more lines than a short
+    document; but against the whole document's if fewer than a tenth as many lines come after it, as those are but the rest
+    of a text. Words of covers count by lines, where a tenth of a page's lines have some; a page's number is its first or last line.
+    """
+    doc, place = Window.partitionBy("doc_id"), F.struct("top", "left", "text")
+    two, letter = r"^[-– ]*2[-– ]*$", F.col("text").rlike(r"\p{L}")
+    ends = F.min_by("text", place).rlike(two) | F.max_by("text", place).rlike(two)
+    head = F.min_by("text", F.when(letter, place))
+    pages = lines.groupBy(*PAGE).agg(F.max(F.col("left") + F.col("width")).alias("reach"), F.count("*").alias("lines"), F.collect_set("font_size").alias("own"), F.count(F.when(F.lower("text").rlike(COVER_WORDS), 1)).alias("words"), head.alias("head"), ends.alias("second"))
     by = doc.orderBy("page_no")
     ahead = by.rowsBetween(1, 8)
-    pages = pages.select("*", F.row_number().over(by).alias("nth"), F.count("page_no").over(doc).alias("n"), F.min("reach").over(ahead).alias("low"), F.max("reach").over(ahead).alias("high"), F.count("reach").over(ahead).alias("following"), F.lead("head").over(by).alias("next"), F.max(F.when(F.col("second") > 0, F.col("page_no"))).over(by.rowsBetween(1, 4)).alias("two"))
+    pages = pages.select("*", F.row_number().over(by).alias("nth"), F.count("page_no").over(doc).alias("n"), F.min("reach").over(ahead).alias("low"), F.max("reach").over(ahead).alias("high"), F.count("reach").over(ahead).alias("following"), F.lead("head").over(by).alias("next"), F.min(F.when(F.col("second"), F.col("page_no"))).over(by.rowsBetween(1, 4)).alias("two"))
+    pages = pages.where((F.col("nth") <= most) & (F.col("nth") < F.col("n"))).join(usual_fonts(lines, most), "doc_id")
+    pages = pages.withColumn("usual", F.expr("CASE WHEN lines > 10 * fonts[nth].n THEN fonts[0].usual ELSE fonts[nth].usual END"))
     names = Registry().add(
         first="CASE WHEN nth = 1 THEN 1e0 ELSE 0e0 END", unusual_width=f"CASE WHEN following >= 3 THEN CASE WHEN reach BETWEEN low - {tolerance} AND high + {tolerance} THEN 0e0 ELSE 1e0 END END",
-        no_normal_font="CASE WHEN normal > 0 THEN 0e0 WHEN near > 0 THEN 0.5e0 ELSE 1e0 END", cover_words="CASE WHEN words = 0 THEN 0e0 ELSE least(1e0, 0.5e0 + words / 6e0) END",
+        no_normal_font="CASE WHEN array_contains(own, usual) THEN 0e0 WHEN exists(own, f -> abs(f - usual) < 2) THEN 0.5e0 ELSE 1e0 END", cover_words="CASE WHEN words = 0 OR 10 * words < lines THEN 0e0 ELSE least(1e0, 0.5e0 + words / 6e0) END",
         late_second="CASE WHEN two IS NOT NULL THEN CASE WHEN two - page_no > 1 THEN 1e0 ELSE 0e0 END END", capital_next=r"CASE WHEN next IS NOT NULL THEN CASE WHEN next RLIKE r'^\P{L}*\p{Lu}' THEN 1e0 ELSE 0e0 END END",
     )
-    scored = label(pages, names, COVER).where((F.col("nth") <= most) & (F.col("nth") < F.col("n")) & (F.col("p_COVERPAGE") >= least))
+    scored = label(pages, names, COVER).where(F.col("p_COVERPAGE") >= least)
     last = scored.groupBy("doc_id").agg(F.max("page_no").alias("last_"))
     return lines.join(last, "doc_id", "left").where("last_ IS NULL OR page_no > last_").drop("last_")

@@ -54,6 +54,38 @@ def test_geometry_of_odd_pages(spark):
     assert got == [(1, 0, "00"), (1, 0, "01"), (1, 1, "10"), (1, 1, "11"), (1, 2, "20"), (1, 2, "21"), (2, 0, "across"), (2, 0, "a"), (2, 0, "b")]
 
 
+def test_covers_of_odd_documents(spark, tmp_path):
+    import duckdb
+
+    from lectio.plans.catalogue import ORACLE_SQL, QUERIES
+
+    line, after = "a line of plain words that goes on for a while", "Next page begins here and goes on for long"
+    licence, words = "Licensed under the Apache License, Version 2.0.", "available at the repository, accessed today"
+    texts = [
+        "un.\nand thirty characters more of it", "x", "hello\nyou", "2", "12345\nHello, a line after a number", "lower\n2\nand more than thirty characters on a line", "", None,  # shorter than the cover
+        "\n".join([line] * 3 + ["w"] * 3), "\n".join(["abc"] * 130), "\n".join([line] * 39 + ["2"] + [line] * 300),
+        "\n".join([line] * 39 + [licence] + [after] * 5), "\n".join([line] * 38 + [licence] * 2 + [after] * 5), "\n".join([line] * 39 + [words, after]),  # a text that has words of covers
+        "\n".join([line] * 40 + ["Some short end."]), "\n".join([line] * 39 + [licence, "Some short end."]),  # a rest in another font
+    ]
+    docs = spark.createDataFrame([(2 * k + odd, text) for k, text in enumerate(texts) for odd in (0, 1)], "doc_id long, text string")
+    docs.coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    got = sorted((r.doc_id, r.page_no, r.line_no) for r in QUERIES["strip_covers"](spark, str(tmp_path)).collect())
+    assert got == sorted(con.sql(ORACLE_SQL["strip_covers"]).fetchall())
+
+
+def test_fonts_after_each_page(spark):
+    schema = "doc_id long, page_no int, top int, left int, width int, font_size int, text string"
+    page = lambda doc, no, *sizes, text="ten letters": [(doc, no, 10 * i, 0, 100, s, text) for i, s in enumerate(sizes)]
+    lines = spark.createDataFrame(page(1, 0, 17, 17, 17) + page(1, 3, 20, 11) + page(1, 4, 20, 20) + page(2, 1, 12, 12, 9, text="short") + page(3, 1, None, None), schema)
+    got = {r.doc_id: {k: tuple(v) for k, v in r.fonts.items()} for r in geometry.usual_fonts(lines, 3).collect()}
+    assert got == {1: {0: (17, 7), 1: (20, 4), 2: (20, 2)}, 2: {0: (12, 3)}, 3: {0: (None, 2)}}
+    assert geometry.without_cover(lines).count() == 12 and geometry.without_cover(lines.limit(0)).count() == 0
+    cover = spark.createDataFrame([(1, 0, 200 + 30 * i, 0, 700, 17, t) for i, t in enumerate(["Repository", "please cite", "accessed"])], schema)
+    assert {r.page_no for r in geometry.without_cover(lines.where("page_no > 0").unionByName(cover)).where("doc_id = 1").collect()} == {3, 4}
+
+
 def test_the_shared_folder(spark, tmp_path):
     unset = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master="yarn"))
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
