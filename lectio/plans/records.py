@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectio.operators import pairs
 from lectio.plans.registry import Tables, paired
 from lectio.plans.relational import NOW
 
@@ -297,9 +298,10 @@ def dictionary_words(t: Tables) -> DataFrame:
 
 @paired("""SELECT a.p_partkey AS a, b.p_partkey AS b FROM part a JOIN part b ON a.p_size = b.p_size AND a.p_type = b.p_type AND a.p_partkey < b.p_partkey WHERE levenshtein(a.p_name, b.p_name) < 3""")
 def near_titles(t: Tables) -> DataFrame:
-    """Pairs of titles within a group that fewer than three edits part."""
-    side = lambda c: t("part", "p_partkey", "p_name", "p_size", "p_type").select(F.col("p_partkey").alias(c), F.col("p_name").alias(f"name_{c}"), "p_size", "p_type")
-    return side("a").join(side("b"), ["p_size", "p_type"]).where("a < b AND levenshtein(name_a, name_b, 2) >= 0").select("a", "b")
+    """Pairs of titles within a group that fewer than three edits part: the distinct titles are compared, and then taken apart into their rows."""
+    rows = t("part", "p_partkey", "p_name", "p_size", "p_type").where("p_name IS NOT NULL")
+    blocks = pairs.classes(rows, "p_partkey", "p_size", "p_type", "p_name")
+    return pairs.expand(pairs.alike(blocks, ["p_size", "p_type"], "p_name", "levenshtein(a.p_name, b.p_name, 2) >= 0"))
 
 
 @paired("""SELECT p_partkey, p_size % 3 <> 2 AS found FROM part""")
