@@ -22,3 +22,27 @@ def test_pairs_are_of_classes_and_expand_to_all_rows(spark, titles, monkeypatch)
     rows = [tuple(r) for r in titles.collect()]
     alike = lambda x, y: x == y or {x, y} == {"red ring", "rad ring"}
     assert got == sorted((a, b) for a, n, g in rows for b, m, h in rows if g == h and a < b and alike(n, m))
+
+
+def _equals_sql(spark, tmp_path, name, texts):
+    """A query against its SQL over documents with these texts."""
+    import duckdb
+
+    from lectio.plans.catalogue import ORACLE_SQL, QUERIES
+
+    docs = spark.createDataFrame([(i, x, "en", "books", len(x)) for i, x in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.sql(ORACLE_SQL[name])
+    got = QUERIES[name](spark, str(tmp_path)).select(*want.columns)
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(want.fetchall(), key=repr)
+
+
+def test_entries_with_empty_titles_and_wide_spaces(spark, tmp_path):
+    _equals_sql(spark, tmp_path, "encyclopedia_page", ["", "\nabc", "<>&\nx", " A title　\nx", "a b\r\nx", " one two ", "\t tab\n"])
+
+
+def test_abstract_holds_lines_that_begin_as_headings_do(spark, tmp_path):
+    rest = "\nThe others are of no interest here, and they say so at length.\n" * 3
+    _equals_sql(spark, tmp_path, "extract_abstract", [f"{first}\nAll rights are reserved." + rest for first in ("4537960215852590 Then there is the other one, and all of it.", "Literature on this is large, and most of it is old.", "References to rooms are found in all of these texts.", "A map of rooms.")])
