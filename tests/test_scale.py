@@ -46,3 +46,12 @@ def test_entries_with_empty_titles_and_wide_spaces(spark, tmp_path):
 def test_abstract_holds_lines_that_begin_as_headings_do(spark, tmp_path):
     rest = "\nThe others are of no interest here, and they say so at length.\n" * 3
     _equals_sql(spark, tmp_path, "extract_abstract", [f"{first}\nAll rights are reserved." + rest for first in ("4537960215852590 Then there is the other one, and all of it.", "Literature on this is large, and most of it is old.", "References to rooms are found in all of these texts.", "A map of rooms.")])
+
+
+def test_running_estimate_equals_whole_estimate(spark):
+    from lectio.functions.score import estimate_array, estimate_more, estimate_parts, score
+
+    own, more = [("x", 0.8, -0.5), ("y", 0.3, -0.9), ("1e0", 0.2, 0.0)], [("z", 0.4, -0.3)]
+    rows = spark.createDataFrame([(x / 4, y / 4, z / 4) for x in range(5) for y in range(5) for z in range(5)], "x double, y double, z double")
+    got = rows.selectExpr("*", *estimate_parts(own, "p")).selectExpr(f"{estimate_array(own + more)} AS a", f"{estimate_more('p', [score(*more[0])])} AS b", f"{estimate_array(own)} AS c", f"{estimate_more('p', [])} AS d")
+    assert all(abs(r.a - r.b) < 1e-15 and abs(r.c - r.d) < 1e-15 for r in got.collect())
