@@ -13,7 +13,9 @@ def lines_from_xml(pages: DataFrame) -> DataFrame:
     attr = lambda c, name: F.coalesce(F.expr(f"try_cast(regexp_extract({c}, '\\\\b{name}=\"(-?[0-9]+)\"', 1) AS INT)"), F.lit(0))
     page = pages.select("doc_id", F.posexplode(F.expr("regexp_extract_all(xml, '(?s)(<page .*?</page>)', 1)")).alias("p", "page"))
     fonts = F.expr("regexp_extract_all(page, '(<fontspec [^>]*>)', 1)")
-    line = page.select("doc_id", F.coalesce(attr("page", "number"), F.col("p") + 1).alias("page_no"), fonts.alias("fonts"), F.posexplode(F.expr("regexp_extract_all(page, '(?s)(<text [^>]*>.*?</text>)', 1)")).alias("line_no", "line"))
+    # Both are bound before the lines are parted: beside a generator they would be sought in the whole page again for each of its lines.
+    page = page.select("doc_id", "page", F.explode(F.array(F.struct(F.coalesce(attr("page", "number"), F.col("p") + 1).alias("page_no"), fonts.alias("fonts")))).alias("h"))
+    line = page.select("doc_id", F.col("h.page_no").alias("page_no"), F.col("h.fonts").alias("fonts"), F.posexplode(F.expr("regexp_extract_all(page, '(?s)(<text [^>]*>.*?</text>)', 1)")).alias("line_no", "line"))
     size = F.expr("coalesce(try_cast(regexp_extract(get(filter(fonts, f -> f LIKE concat('%id=\"', font, '\"%')), 0), 'size=\"([0-9]+)\"', 1) AS INT), 1)")
     line = line.withColumn("font", F.regexp_extract("line", r'font="([0-9]+)"', 1))
     return line.select("doc_id", "page_no", "line_no", *(attr("line", n).alias(n) for n in ("top", "left", "width", "height")), size.alias("font_size"), F.trim(F.regexp_replace("line", "<[^>]*>", "")).alias("text"))
