@@ -67,22 +67,24 @@ def without_marginals(lines: DataFrame, margin: int = 25, least: float = 0.5) ->
     return rows.withColumn("score_", F.when(F.col("edge_"), score).otherwise(0.0)).where(F.col("score_") < least).drop("bare_", "edge_", "score_")
 
 
-def hocr_lines(pages: DataFrame, dpi: int = 300) -> DataFrame:
-    """(doc_id, page_no, line_no, top, left, width, font_size, text) of recognised pages (doc_id, page_no, hocr).
+def hocr_lines(pages: DataFrame, dpi: int = 300, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, page_no, line_no, top, left, width, font_size, text) of recognised pages (doc_id, page_no, hocr), with further columns of the page to keep beside its lines.
 
     Boxes are pixels; a page file has 72 points an inch, times 1.5. A line's font is the median of its words' guesses: a
     word's height, a third more where no letter goes below the line. Zeros and ones between letters become o and i.
     """
     number = lambda c: F.round(c.cast("int") / dpi * 72 * 1.5).cast("int")
-    line = pages.select(*PAGE, F.posexplode(F.regexp_extract_all("hocr", F.lit("(?s)(<span class='ocr_line'.*?</span>)\\s*(?=<span class='ocr_line'|</p>|$)"), F.lit(1))).alias("line_no", "line"))
+    line = pages.select(*PAGE, *keep, F.posexplode(F.regexp_extract_all("hocr", F.lit("(?s)(<span class='ocr_line'.*?</span>)\\s*(?=<span class='ocr_line'|</p>|$)"), F.lit(1))).alias("line_no", "line"))
     box = lambda c: F.split(F.regexp_extract(c, r"bbox (\d+ \d+ \d+ \d+)", 1), " ")
-    line = line.select(*PAGE, "line_no", box("line").alias("b"), F.regexp_extract_all("line", F.lit("(?s)(<span class='ocrx_word'[^>]*>.*?</span>)"), F.lit(1)).alias("words"))
+    line = line.select(*PAGE, *keep, "line_no", box("line").alias("b"), F.regexp_extract_all("line", F.lit("(?s)(<span class='ocrx_word'[^>]*>.*?</span>)"), F.lit(1)).alias("words"))
     text = lambda w: F.regexp_replace(w, "<[^>]*>", "")
     height = lambda w: (F.get(box(w), 3).cast("int") - F.get(box(w), 1).cast("int")) * F.when(text(w).rlike("[gjpqy]"), 1.0).otherwise(4 / 3)
-    sizes = F.array_sort(F.transform("words", height))
+    # Sizes are used four times, so they are bound by a generator; an empty list of words has a row as well.
+    line = line.select("*", F.explode(F.array(F.array_sort(F.transform("words", height)))).alias("sizes"))
+    sizes = F.col("sizes")
     middle = (F.get(sizes, F.floor((F.size(sizes) - 1) / 2).cast("int")) + F.get(sizes, F.floor(F.size(sizes) / 2).cast("int"))) / 2
-    repaired = F.array_join(F.transform("words", lambda w: F.regexp_replace(F.regexp_replace(text(w), r"(?<=\p{L}[01]{0,9})0(?=[01]{0,9}\p{L})", "o"), r"(?<=\p{L}1{0,9})1(?=1{0,9}\p{L})", "i")), " ")
-    return line.select(*PAGE, "line_no", number(F.get("b", 1)).alias("top"), number(F.get("b", 0)).alias("left"), number(F.get("b", 2).cast("int") - F.get("b", 0).cast("int")).alias("width"), F.round(middle / dpi * 72 * 1.5).cast("int").alias("font_size"), repaired.alias("text"))
+    repaired = F.array_join(F.transform("words", lambda w: F.when(w.rlike(r">[^<]*[01]"), F.regexp_replace(F.regexp_replace(text(w), r"(?<=\p{L}[01]{0,9})0(?=[01]{0,9}\p{L})", "o"), r"(?<=\p{L}1{0,9})1(?=1{0,9}\p{L})", "i")).otherwise(text(w))), " ")
+    return line.select(*PAGE, *keep, "line_no", number(F.get("b", 1)).alias("top"), number(F.get("b", 0)).alias("left"), number(F.get("b", 2).cast("int") - F.get("b", 0).cast("int")).alias("width"), F.round(middle / dpi * 72 * 1.5).cast("int").alias("font_size"), repaired.alias("text"))
 
 
 COVER_WORDS = "repository|downloaded|please cite|available at|this version|issn|terms of use|licen[cs]e|preprint|stable url|accessed"

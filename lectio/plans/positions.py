@@ -179,13 +179,14 @@ def hocr_lines(t: Tables) -> DataFrame:
     px = lambda c: F.round(c / 1.5 / 72 * 300).cast("int")
     plain = F.trim(F.regexp_replace(F.replace(F.lower("text"), F.lit("p"), F.lit("b")), "[^a-z]+", " "))
     lines = _lines(t).withColumn("plain", plain).where("plain <> ''")
-    lines = lines.select("doc_id", "page_no", (F.col("line_no") % 40).alias("line_no"), px(F.col("top")).alias("y"), px(F.lit(108)).alias("x"), px(F.col("width")).alias("w"), F.split("plain", " ").alias("words"))
-    word = lambda w: F.concat(F.format_string("<span class='ocrx_word' title='bbox %d %d %d %d; x_wconf 90'>", "x", "y", F.col("x") + 9, F.col("y") + F.when(w.rlike("[gjqy]"), 50).otherwise(38)), F.regexp_replace(F.regexp_replace(w, r"(?<=[a-z])o(?=[a-z])", "0"), r"(?<=[a-z])i(?=[a-z])", "1"), F.lit("</span>"))
+    lines = lines.select("doc_id", "page_no", (F.col("line_no") % 40).alias("line_no"), px(F.col("top")).alias("y"), px(F.lit(108)).alias("x"), px(F.col("width")).alias("w"), F.split(F.regexp_replace(F.regexp_replace("plain", r"(?<=[a-z])o(?=[a-z])", "0"), r"(?<=[a-z])i(?=[a-z])", "1"), " ").alias("words"))
+    lines = lines.withColumn("head", F.format_string("<span class='ocrx_word' title='bbox %d %d %d ", "x", "y", F.col("x") + 9))
+    word = lambda w: F.concat("head", F.when(w.rlike("[gjqy]"), F.col("y") + 50).otherwise(F.col("y") + 38), F.lit("; x_wconf 90'>"), w, F.lit("</span>"))
     line = F.concat(F.format_string("<span class='ocr_line' title='bbox %d %d %d %d'>", "x", "y", F.col("x") + F.col("w"), F.col("y") + 40), F.array_join(F.transform("words", word), " "), F.lit("</span>"))
     page = lines.groupBy("doc_id", "page_no").agg(F.array_sort(F.collect_list(F.struct("line_no", line.alias("x")))).alias("a"))
-    read = geometry.hocr_lines(page.select("doc_id", "page_no", F.array_join(F.transform("a", lambda s: s["x"]), "\n").alias("hocr")))
-    kept = page.select("doc_id", "page_no", F.posexplode(F.transform("a", lambda s: s["line_no"])).alias("k", "own"))
-    return read.join(kept, (read.doc_id == kept.doc_id) & (read.page_no == kept.page_no) & (read.line_no == kept.k)).select(read.doc_id, read.page_no, F.col("own").alias("line_no"), "top", "left", "width", "font_size", "text")
+    page = page.select("doc_id", "page_no", F.transform("a", lambda s: s["line_no"]).alias("own"), F.array_join(F.transform("a", lambda s: s["x"]), "\n").alias("hocr"))
+    read = geometry.hocr_lines(page, keep=("own",))
+    return read.select("doc_id", "page_no", F.get("own", F.col("line_no")).alias("line_no"), "top", "left", "width", "font_size", "text")
 
 
 @paired(f"""WITH p AS ({DUCK}), q AS (SELECT *, lag(top) OVER w AS above, lag(font_size) OVER w AS above_size FROM p WINDOW w AS (PARTITION BY doc_id, page_no ORDER BY line_no)) SELECT doc_id, line_no, coalesce(top + font_size / 2e0 BETWEEN above AND above + 1.4e0 * above_size, false) AS within_ FROM q""")
