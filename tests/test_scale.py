@@ -55,3 +55,20 @@ def test_running_estimate_equals_whole_estimate(spark):
     rows = spark.createDataFrame([(x / 4, y / 4, z / 4) for x in range(5) for y in range(5) for z in range(5)], "x double, y double, z double")
     got = rows.selectExpr("*", *estimate_parts(own, "p")).selectExpr(f"{estimate_array(own + more)} AS a", f"{estimate_more('p', [score(*more[0])])} AS b", f"{estimate_array(own)} AS c", f"{estimate_more('p', [])} AS d")
     assert all(abs(r.a - r.b) < 1e-15 and abs(r.c - r.d) < 1e-15 for r in got.collect())
+
+
+def test_pages_are_searched_once_not_for_each_line(spark, data):
+    from lectio.plans.catalogue import QUERIES
+
+    plan = QUERIES["xml_lines"](spark, data)._jdf.queryExecution().optimizedPlan().toString()
+    assert "(<fontspec" in plan and "(<fontspec" not in plan.split("Generate posexplode(regexp_extract_all")[0]
+    assert "Join" not in QUERIES["hocr_lines"](spark, data)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_copies_are_one_class_of_near_copies(spark, tmp_path):
+    words = "alpha bravo charlie delta foxtrot golfing hotel india juliet kilogram limas mikes november oscar papa quebec romeo sierra tango uniform victor whisky"
+    texts = [words, words, words + " zuluu", words, words + " zuluu yankee", "one two", "", "", words.upper()] * 3
+    _equals_sql(spark, tmp_path, "dup_blocked", texts)
+    from lectio.plans.catalogue import QUERIES
+
+    assert "collect_list(doc_id" in QUERIES["dup_blocked"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
